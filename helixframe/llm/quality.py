@@ -1,8 +1,8 @@
 """Quality classifier: gated attention over the passages of a document (multiple-instance learning).
 
 A document is a bag of passages, consecutive windows of PASSAGE UTF-8 bytes over its whole text. A passage is encoded
-by frequencies of pairs of neighbouring character classes and by hashed character trigrams, both counted
-for all passages of a batch at once. One layer turns that into an embedding; gated attention (Ilse et al.
+by frequencies of pairs of neighbouring character classes and of hashed character trigrams, and by how
+much the trigrams repeat. One layer turns that into an embedding; gated attention (Ilse et al.
 2018) weighs the passages of a document by a softmax learned from document labels alone, and a logistic
 unit scores the weighted mean. A short bad part of a long text can thus decide.
 
@@ -30,7 +30,7 @@ from helixframe.llm.common import table, text_of
 PASSAGE, BLOCK = 384, 2048
 TRAIN_DOCS, TRAIN_PASSAGES = 4000, 24
 CLASSES, HASHED = 14, 256
-WIDTH = CLASSES * CLASSES + HASHED
+WIDTH = CLASSES * CLASSES + HASHED + 2
 EMBED, ATTEND, EPOCHS, BATCH, SEED = 24, 12, 40, 128, 5
 
 
@@ -64,7 +64,9 @@ def encode(data: bytes):
     grams = ((low[:-2] * 0x9E3779B1 + low[1:-1] * 0x85EBCA77 + low[2:] * 0xC2B2AE3D) >> 7) % HASHED
     hashed = np.bincount(at[2:] * HASHED + grams, minlength=n * HASHED).reshape(n, -1)
     size = np.maximum(np.bincount(at, minlength=n), 1)[:, None]
-    return np.sqrt(np.concatenate([pairs, hashed], axis=1) / size).astype(np.float32)
+    share = np.concatenate([pairs, hashed], axis=1) / size
+    same = share[:, CLASSES * CLASSES :]
+    return np.sqrt(np.concatenate([share, 4 * (same * same).sum(axis=1, keepdims=True), same.max(axis=1, keepdims=True)], axis=1)).astype(np.float32)
 
 
 def _sigmoid(x):
@@ -208,7 +210,8 @@ def _keep_batches(batches: Iterator, model: Model, at: int, least: float) -> Ite
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs that score at least `least`, with all their columns; nothing is shuffled."""
-    return docs.mapInArrow(lambda b: _keep_batches(b, model, docs.columns.index(text_col), least), docs.schema)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: _keep_batches(b, model, at, least), docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
