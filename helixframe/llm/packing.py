@@ -9,8 +9,8 @@ rank in its bin and with it sequence and place. Ranks are numbered in chunks, so
 of all pieces is many tasks.
 
 Token ids are computed once and only lengths and checksums are written, so the later steps move some
-dozen bytes a piece. Words repeat, so their ids are kept in a bounded cache of each Python worker; the
-ids equal those of the whole text because the tokenizer never joins over a space or line break (tested).
+dozen bytes a piece. Words repeat, so their ids are kept in bounded dictionaries of each Python worker;
+the ids equal those of the whole text because the tokenizer never joins over a space or line break (tested).
 
 Defined cases: a null or empty text is the end id alone; a document longer than the window gives pieces of
 the full window and a rest; repeated rows and ids are documents of their own; an empty table gives no
@@ -19,8 +19,11 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,38 +33,66 @@ from helixframe.llm.common import materialize, number_within, table, text_of
 
 WINDOW, GRAIN, DEPTH, END_ID, CHUNKS = 4096, 16, 3, 2, 1024
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS, CACHE_LENGTH = 200_000, 48
+CACHE_PARTS, CACHE_PRETOKENS, CACHE_LENGTH = 300_000, 600_000, 48
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, with a bounded cache of words."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers.
+
+    A text is cut at spaces and line breaks. A part that is letters of ASCII or Latin-1 and then ASCII
+    punctuation is two pre-tokens, which go to the tokenizer's model in its own byte letters; any other part goes
+    through the whole tokenizer. Parts and pre-tokens are kept in dictionaries of bounded size, which stay
+    with the worker from task to task.
+    """
 
     def __init__(self, vocabulary: str = VOCABULARY):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.parts: dict[str, bytes] = {"": b""}
+        self.pretokens: dict[str, bytes] = {"": b""}
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {i: spell(chr(i))[0][0] for i in range(0xC0, 0x100) if chr(i).isalpha()}
+
+    def _pretoken(self, word: str) -> bytes:
+        ids = self.pretokens.get(word)
+        if ids is None:
+            raw = self.raw
+            ids = b"".join([raw[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))])
+            if len(self.pretokens) < CACHE_PRETOKENS and len(word) <= CACHE_LENGTH:
+                self.pretokens[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        m = _PLAIN.fullmatch(part)
+        if m:
+            ids = self._pretoken(m[1].lower()) + self._pretoken(m[2])
+        else:
+            ids = b"".join([self.raw[i] for i in self.tokenizer.encode(part, add_special_tokens=False).ids])
+        if len(self.parts) < CACHE_PARTS and len(part) <= CACHE_LENGTH:
+            self.parts[part] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        known = self.known
-        found = [known.get(w) for w in words]
-        if None in found:
-            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            fresh = {w: b"".join(i.to_bytes(4, "little") for i in e.ids) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            if len(known) + len(fresh) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-            known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_LENGTH)
-        return b"".join(found)
+        get, part = self.parts.get, self._part
+        return b"".join([ids if (ids := get(w)) is not None else part(w) for w in words])
+
+
+@cache
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def _piece_batches(batches: Iterator, vocabulary: str, window: int) -> Iterator:
     import pyarrow as pa
 
-    encode, end = Encoder(vocabulary), END_ID.to_bytes(4, "little")
+    encode, end = encoder(vocabulary), END_ID.to_bytes(4, "little")
     for batch in batches:
         ids, starts, lengths, sums, totals = [], [], [], [], []
         for doc, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):

@@ -125,7 +125,7 @@ def _has(bits: bytes, h: int) -> int:
 def bit_set(terms: DataFrame) -> bytes:
     """The terms' hashes as a set of SET_BITS bits; the driver gets at most one row per set byte, each of a few bytes."""
     at = F.pmod(F.col("term"), F.lit(SET_BITS))
-    rows = terms.select(F.floor(at / 8).cast("int").alias("byte"), F.shiftleft(F.lit(1), (at % 8).cast("int")).alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
+    rows = terms.select(F.floor(at / 8).cast("int").alias("byte"), F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int")).alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
     out = bytearray(SET_BITS // 8)
     for r in rows:
         out[r["byte"]] = r["bits"]
