@@ -7,7 +7,7 @@ spill or split, and a large model spreads over its cubes. The distance test is t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.geometry import distance_sq, vec
@@ -77,3 +77,30 @@ def neighbour_lists(pairs: DataFrame, sort: bool = True) -> DataFrame:
     both = pairs.select("i", "j", "distance_sq").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance_sq"))
     found = F.collect_list(F.struct(F.sqrt("distance_sq").alias("d"), "j"))
     return both.groupBy("i").agg((F.array_sort(found) if sort else found).alias("neighbours"))
+
+
+def _cuts(df: DataFrame, order: str, parts: int) -> Column:
+    """The range of a row's key among quantile cuts that travel as a literal."""
+    probes = [i / parts for i in range(1, parts)] or [0.5]
+    cuts = df.agg(F.percentile_approx(order, probes, 10_000)).first()[0] or []
+    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))] or [F.lit(0).cast("long")]), lambda c: c < F.col(order)))
+
+
+def offsets(counts: DataFrame, order: str, n: str, parts: int = 64) -> DataFrame:
+    """counts with indptr, the sum of n over all smaller keys, without one task that sorts everything.
+
+    Rows are cut into ranges of the key; sums run within a range, and the sums of the ranges before, one row
+    a range, are added.
+    """
+    cut = counts.withColumn("__part", _cuts(counts, order, parts))
+    sums = cut.groupBy("__part").agg(F.sum(n).alias("__sum"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    starts = sums.select("__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    local = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = cut.withColumn("__local", F.coalesce(F.sum(n).over(local), F.lit(0)))
+    return summed.join(F.broadcast(starts), "__part").select(*counts.columns, (F.col("__start") + F.col("__local")).cast("long").alias("indptr"))
+
+
+def renumber(rows: DataFrame, order: str, name: str = "new_id") -> DataFrame:
+    """rows numbered from 0 in order of a unique key."""
+    return offsets(rows.withColumn("__one", F.lit(1)), order, "__one").drop("__one").withColumnRenamed("indptr", name)

@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from helixframe.plans import metrics, relational, spatial, structures
 
-from helixframe.operators import radius
-from helixframe.sources.adapters import POINTS_SQL, points
-
-RADIUS = 5.0
-
-
-def j1_radius_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = radius.self_join(points(spark, sf_dir), RADIUS, residual=(F.col("a.chain") == F.col("b.chain")) & (F.abs(F.col("a.resid") - F.col("b.resid")) > 1), keep=["chain"])
-    return near.groupBy(F.col("chain_i").alias("chain")).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.sum("distance_sq"), 6).alias("sum_d2"))
+_ALL = spatial.QUERIES | metrics.QUERIES | structures.QUERIES | relational.QUERIES
 
 
 def queries() -> dict:
-    return {"j1_radius_self_join": j1_radius_self_join}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "j1_radius_self_join": f"""WITH {POINTS_SQL}, p AS (SELECT a.chain, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2
-  FROM pts a JOIN pts b ON a.atom_id < b.atom_id AND a.chain = b.chain AND abs(a.resid - b.resid) > 1)
-SELECT chain, count(*) AS n_pairs, round(sum(d2), 6) AS sum_d2 FROM p WHERE d2 <= 25.0 GROUP BY chain""",
-    }
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
