@@ -105,7 +105,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = components(links(nodes.select("fp")))
     named = member.join(nodes, member["node"] == nodes["fp"]).groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = member.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    whole = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "groups")  # so that Spark may split a hot fingerprint below
     return rows.join(whole, "fp").select("id", "row_hash", "fp", "component_id")
 
 
