@@ -62,9 +62,10 @@ def _ideal(side: Column) -> Column:
 
 
 def _flat(side: Column, nbrs: Column, other: Column, most: float) -> Column:
-    """Whether `other` is near the plane of a planar side and its first two heavy neighbours; true with fewer."""
-    angle = out_of_plane(side, nbrs[0], nbrs[1], other)
-    return F.when((side["hyb"] == 2) & (F.size(nbrs) >= 2), angle <= most).otherwise(F.lit(True))
+    """Whether `other` is near the plane of a planar side; the plane goes through two heavy neighbours, or one and the one beyond it."""
+    further = F.when(F.size(nbrs) >= 2, nbrs[1]).otherwise(side["second"])
+    angle = let(further, lambda k: out_of_plane(side, nbrs[0], k, other))
+    return F.when((side["hyb"] == 2) & (F.size(nbrs) >= 1), F.coalesce(angle <= most, F.lit(True))).otherwise(F.lit(True))
 
 
 def hbond_geometry(d: Column, a: Column) -> Column:
@@ -126,7 +127,7 @@ class AtomRule:
 
 def _metal(m: Column, p: Column, _d2: Column) -> Column:
     fits = (is_type(m, "TransitionMetal") & is_type(p, "DativeBondPartner")) | (is_type(m, "IonicTypeMetal") & is_type(p, "IonicTypePartner"))
-    return fits & ~bonded(m, p)
+    return fits & ~bonded(m, p) & ~same_residue(m, p)  # a metal within its own residue is bonded, not in contact
 
 
 def _molstar_hbond(d: Column, a: Column, d2: Column, water: bool = False, sulfur: float = 4.1, least: float = 2.0) -> Column:
@@ -194,7 +195,7 @@ def _bits_fit(left: Column, right: Column, rules: tuple[AtomRule, ...]) -> Colum
 
 def _sides(typed: DataFrame, model: list[str]) -> DataFrame:
     f = typed.withColumns({"vdw": topo.lookup(topo.VDW, F.col("el"), 1.7), "polymer": topo.is_polymer(F.col("resname")), "water": F.col("resname").isin(*topo.WATER)})
-    return f.select(*model, "atom_id", F.struct("atom_id", "resid", "resname", "chain", "el", "atom_type", "hyb", "vdw", "polymer", "water", "nbrs", "x", "y", "z").alias("f"))
+    return f.select(*model, "atom_id", F.struct("atom_id", "resid", "resname", "chain", "el", "atom_type", "hyb", "vdw", "polymer", "water", "nbrs", "second", "x", "y", "z").alias("f"))
 
 
 def atom_contacts(typed: DataFrame, rules: tuple[AtomRule, ...], model: list[str] = MODEL) -> DataFrame:

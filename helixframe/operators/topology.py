@@ -117,8 +117,17 @@ def _named(table: dict) -> Column:
 
 
 def features(atoms: DataFrame, bond: DataFrame, model: list[str] = MODEL) -> DataFrame:
-    """atoms with nbrs, el, n_heavy, n_h (explicit), implicit_h, hyb (1 SP, 2 SP2, 3 SP3), rclass."""
-    found = atoms.join(neighbours(atoms, bond, model), [*model, "atom_id"], "left")
+    """atoms with nbrs, second, el, n_heavy, n_h (explicit), implicit_h, hyb (1 SP, 2 SP2, 3 SP3), rclass.
+
+    second is, for an atom with one heavy neighbour, a further heavy neighbour of that one: with it such an
+    atom has a plane.
+    """
+    near = neighbours(atoms, bond, model)
+    heavy = lambda n: ~n["element"].isin("H", "D")
+    ends = near.where(F.size(F.filter("nbrs", heavy)) == 1).select(*model, "atom_id", F.filter("nbrs", heavy)[0]["atom_id"].alias("__of"))
+    beyond = ends.join(near.withColumnsRenamed({"atom_id": "__of", "nbrs": "__nbrs"}), [*model, "__of"])
+    second = beyond.select(*model, "atom_id", F.filter("__nbrs", lambda n: heavy(n) & (n["atom_id"] != F.col("atom_id"))).alias("__s")).select(*model, "atom_id", F.when(F.size("__s") > 0, F.col("__s")[0]).alias("second"))
+    found = atoms.join(near, [*model, "atom_id"], "left").join(second, [*model, "atom_id"], "left")
     count = lambda test: F.when(F.col("nbrs").isNull(), 0).otherwise(F.size(F.filter("nbrs", test)))
     counted = found.withColumns({
         "el": upper_element(), "rclass": residue_class(F.col("resname")),
