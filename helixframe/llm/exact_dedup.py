@@ -50,10 +50,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The join carries the id as a third key, so the copies of a hot text spread over all tasks.
     """
     norm = normalised(text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), hasher(norm).alias("h"), F.sha2(norm, 256).alias("sha"))
-    keep = _groups(docs, id_col, text_col, hasher).select(F.col("h").alias("kh"), F.col("sha").alias("ks"), "keep_id")
-    found = rows.join(keep, (F.col("h") == F.col("kh")) & (F.col("sha") == F.col("ks")) & F.col("id").eqNullSafe(F.col("keep_id")))
-    return found.dropDuplicates(["h", "sha", "id"]).select("row.*")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null")).alias("key")  # noqa: E731  never null, so an ordinary equi-join
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(F.col(id_col)), hasher(norm).alias("h"), F.sha2(norm, 256).alias("sha"))
+    keep = _groups(docs, id_col, text_col, hasher).select("h", "sha", key(F.col("keep_id")))
+    return rows.join(keep, ["h", "sha", "key"]).dropDuplicates(["h", "sha", "key"]).select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
