@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("helixframe.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -12,7 +13,7 @@ def _corpus(spark, path):
     good = lambda i: " ".join(f"word{(i * 31 + k * k) % 997}" for k in range(120)) + "."
     texts = [good(i) for i in range(240)] + [good(i) for i in range(40)] + ["BUY!! NOW!! $$$ ### " * 40 + str(i) for i in range(120)]
     rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"copy": F.lit("kept"), "kept": F.lit(1)}).write.parquet(f"{path}/documents.parquet")
     labels = [(i, int(i < 280), 0) for i in range(len(texts)) if i % 2 == 0]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return texts
@@ -27,7 +28,7 @@ def test_stages(spark, tmp_path):
         seen[name] = docs.collect()
         docs = spark.createDataFrame(seen[name], docs.schema)
         if name != "packing":
-            assert docs.columns == corpus_pipeline.COLUMNS
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy", "kept"] and {r["copy"] for r in seen[name]} == {"kept"}
     assert {r.doc_id for r in seen["quality"]} == set(range(280))
     assert {r.doc_id for r in seen["exact dedup"]} == set(range(240))
     assert {r.doc_id for r in seen["near dedup"]} == set(range(240))
