@@ -13,7 +13,8 @@ mean up to chance agreement of code points, equal texts 1.
 
 `near_groups` finds near copies: bands of sampled bits are the keys of an equi-join of distinct
 fingerprints, every match is verified over all bits within the join, and components of the verified links
-are the groups. Copies are one node before the bands.
+are the groups. Copies are one node before the bands. A band of 40 bits meets by chance for a pair in some
+10^10, so candidates stay few at any size; a pair at likeness 0.9 shares one of 32 bands with probability 0.99.
 
 `edited_neighbours` needs each document's successor in descending id. Ids are cut into ranges at
 quantiles; rows go to their range, and the first row of a range also to the range before it (the last
@@ -38,7 +39,7 @@ from helixframe.llm.common import components, materialize, table, text_of
 
 BITS, SEED = 512, 11
 PERIOD, WALKS = 8192, 64
-BANDS, BAND_BITS, NEAR = 32, 20, 0.7
+BANDS, BAND_BITS, NEAR = 32, 40, 0.9
 NO_ID = -(1 << 63)
 
 
@@ -189,7 +190,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     import numpy as np
 
     spark = docs.sparkSession
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
     cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges + 1000).alias("cuts")).first()["cuts"]
     bounds = np.unique(np.array(cuts if ranges > 1 and cuts else [], dtype=np.int64))
