@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe import on_workers
+
 #: ASCII white space of the text contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,7 +50,8 @@ def number_within(df: DataFrame, group: list[str], chunk: Column, order: list, n
 
     A group is cut into chunks; rows are numbered within (group, chunk) and the sizes of the chunks before
     are added. Only the chunk sizes of a group meet, never its rows. df must give the same rows each time it
-    is run (read it from a table).
+    is run (read it from a table), and neither group nor chunk may be null: then the join takes the rows as
+    the window left them, without another shuffle.
     """
     keyed = df.withColumn("__chunk", chunk)
     sizes = keyed.groupBy(*group, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
@@ -55,9 +59,8 @@ def number_within(df: DataFrame, group: list[str], chunk: Column, order: list, n
     starts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     local = Window.partitionBy(*group, "__chunk").orderBy(*order)
     numbered = keyed.withColumn("__row", F.row_number().over(local))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "__chunk"]]
-    joined = numbered.alias("l").join(starts.alias("r"), same)
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r.__before") + F.col("l.__row") - 1).cast("long").alias(name))
+    joined = numbered.join(starts, [*group, "__chunk"])
+    return joined.select(*df.columns, (F.col("__before") + F.col("__row") - 1).cast("long").alias(name))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
