@@ -25,7 +25,7 @@ def join_full(spark, d):
     left = a.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_s"))
     right = b.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_c"))
     met = left.join(right, F.col("s_nationkey") == F.col("c_nationkey"), "full")
-    return met.select(F.coalesce("s_nationkey", "c_nationkey").alias("nationkey"), "n_s", "n_c")
+    return met.select(F.coalesce("s_nationkey", "c_nationkey").alias("nationkey"), F.coalesce("n_s", F.lit(0)).alias("n_s"), F.coalesce("n_c", F.lit(0)).alias("n_c"))
 
 
 def join_semi(spark, d):
@@ -51,20 +51,22 @@ def join_asof(spark, d):
     e = table(spark, d, "events").where(F.col("event_type").isin("click", "purchase"))
     order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(order)
-    return e.withColumn("click_id", last).where("event_type = 'purchase'").select("event_id", "user_id", "click_id")
+    return e.withColumn("click_id", F.coalesce(last, F.lit(-1))).where("event_type = 'purchase'").select("event_id", "user_id", "click_id")
 
 
 def aggregate_rollup(spark, d):
-    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    rolled = table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    return rolled.select(F.coalesce("l_returnflag", F.lit("all")).alias("l_returnflag"), F.coalesce("l_linestatus", F.lit("all")).alias("l_linestatus"), "n", "qty")
 
 
 def aggregate_cube(spark, d):
-    return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    cubed = table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return cubed.select(F.coalesce("o_orderstatus", F.lit("all")).alias("o_orderstatus"), F.coalesce("o_orderpriority", F.lit("all")).alias("o_orderpriority"), "n")
 
 
 def aggregate_sets(spark, d):
     table(spark, d, "customer").createOrReplaceTempView("hf_customer")
-    return spark.sql("SELECT c_mktsegment, c_nationkey, count(*) AS n FROM hf_customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
+    return spark.sql("SELECT coalesce(c_mktsegment, 'all') AS c_mktsegment, coalesce(c_nationkey, -1) AS c_nationkey, count(*) AS n FROM hf_customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
 
 
 def aggregate_distinct(spark, d):
@@ -74,7 +76,7 @@ def aggregate_distinct(spark, d):
 def window_ranks(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     o = table(spark, d, "orders")
-    return o.select("o_orderkey", F.row_number().over(w).cast("long").alias("rn"), F.rank().over(w).cast("long").alias("rk"), F.lag("o_orderkey").over(w).alias("previous"), F.lead("o_orderkey").over(w).alias("following"))
+    return o.select("o_orderkey", F.row_number().over(w).cast("long").alias("rn"), F.rank().over(w).cast("long").alias("rk"), F.lag("o_orderkey", 1, -1).over(w).alias("previous"), F.lead("o_orderkey", 1, -1).over(w).alias("following"))
 
 
 def window_frame(spark, d):
@@ -125,16 +127,16 @@ def page_scan(spark, d):
 QUERIES = {
     "rel_join_inner": (join_inner, "SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "rel_join_left": (join_left, "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
-    "rel_join_full": (join_full, "WITH a AS (SELECT s_nationkey, count(*) AS n_s FROM supplier GROUP BY 1), b AS (SELECT c_nationkey, count(*) AS n_c FROM customer WHERE c_acctbal < 1000 GROUP BY 1) SELECT coalesce(s_nationkey, c_nationkey) AS nationkey, n_s, n_c FROM a FULL JOIN b ON s_nationkey = c_nationkey"),
+    "rel_join_full": (join_full, "WITH a AS (SELECT s_nationkey, count(*) AS n_s FROM supplier GROUP BY 1), b AS (SELECT c_nationkey, count(*) AS n_c FROM customer WHERE c_acctbal < 1000 GROUP BY 1) SELECT coalesce(s_nationkey, c_nationkey) AS nationkey, coalesce(n_s, 0) AS n_s, coalesce(n_c, 0) AS n_c FROM a FULL JOIN b ON s_nationkey = c_nationkey"),
     "rel_join_semi": (join_semi, "SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "rel_join_anti": (join_anti, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "rel_join_interval": (join_interval, "WITH b AS (SELECT unnest(range(0, 10)) AS band) SELECT band, count(*) AS n FROM orders JOIN b ON o_totalprice >= band * 50000 AND o_totalprice < (band + 1) * 50000 GROUP BY 1"),
-    "rel_join_asof": (join_asof, "WITH c AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS click_id FROM events WHERE event_type IN ('click', 'purchase')) SELECT event_id, user_id, click_id FROM c WHERE event_type = 'purchase'"),
-    "rel_rollup": (aggregate_rollup, "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
-    "rel_cube": (aggregate_cube, "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
-    "rel_grouping_sets": (aggregate_sets, "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())"),
+    "rel_join_asof": (join_asof, "WITH c AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS click_id FROM events WHERE event_type IN ('click', 'purchase')) SELECT event_id, user_id, coalesce(click_id, -1) AS click_id FROM c WHERE event_type = 'purchase'"),
+    "rel_rollup": (aggregate_rollup, "SELECT coalesce(l_returnflag, 'all') AS l_returnflag, coalesce(l_linestatus, 'all') AS l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
+    "rel_cube": (aggregate_cube, "SELECT coalesce(o_orderstatus, 'all') AS o_orderstatus, coalesce(o_orderpriority, 'all') AS o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
+    "rel_grouping_sets": (aggregate_sets, "SELECT coalesce(c_mktsegment, 'all') AS c_mktsegment, coalesce(c_nationkey, -1) AS c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())"),
     "rel_distinct": (aggregate_distinct, "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem GROUP BY 1"),
-    "rel_window_ranks": (window_ranks, "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS following FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)"),
+    "rel_window_ranks": (window_ranks, "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, lag(o_orderkey, 1, -1) OVER w AS previous, lead(o_orderkey, 1, -1) OVER w AS following FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)"),
     "rel_window_frame": (window_frame, "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean3 FROM events"),
     "rel_top_k": (top_k, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     "rel_top_per_group": (top_per_group, "SELECT p_brand, p_partkey, r FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 3"),
