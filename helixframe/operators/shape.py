@@ -39,8 +39,7 @@ def radius_of_gyration(points: DataFrame, by: list[str]) -> DataFrame:
 def weighted_rg(points: DataFrame, by: list[str], weight: str = "weight") -> DataFrame:
     """Weighted radius of gyration about the weighted centroid; 0 where the weights don't exceed zero.
 
-    The weighted covariance needs only sums, which combine before the shuffle; they are taken about the plain
-    mean of each group to keep digits.
+    The weighted covariance needs only sums, which combine before the shuffle.
     """
     return gyration_tensor(points, by, weight).select(*by, F.sqrt(F.greatest(F.lit(0.0), F.col("xx") + F.col("yy") + F.col("zz"))).alias("rg"), "w_sum")
 
