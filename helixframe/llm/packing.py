@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from helixframe.llm.common import materialize, number_within, table, text_of
 
-WINDOW, GRAIN, DEPTH, END_ID, CHUNKS = 4096, 16, 3, 2, 1024
+WINDOW, GRAIN, DEPTH, END_ID = 4096, 16, 3, 2
+CHUNKS, CHUNK_ROWS = 1024, 64  # a bin is numbered in chunks of about CHUNK_ROWS rows, CHUNKS at most
 VOCABULARY = "word_bpe_49k.json"
 CACHE_PARTS, CACHE_PRETOKENS, CACHE_LENGTH = 300_000, 600_000, 48
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
@@ -234,7 +235,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     written = materialize(binned, "pieces")
     histogram = {r["bin"]: r["n"] for r in written.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # window / GRAIN rows at most
     table_ = spark.createDataFrame(slots(plan(histogram, window // GRAIN)), SLOTS)  # bounded like the histogram
-    chunk = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(CHUNKS))
+    chunks = [F.lit(x) for b, n in histogram.items() for x in (b, min(CHUNKS, -(-n // CHUNK_ROWS)))]
+    of_bin = F.element_at(F.create_map(*chunks), F.col("bin")) if chunks else F.lit(1)
+    chunk = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), of_bin.cast("long"))
     ranked = number_within(written, ["bin"], chunk, ["doc_id", "start", "length", "ids_crc32"], "rank")
     inside = (F.col("bin") == F.col("p_bin")) & (F.col("rank") >= F.col("p_first")) & (F.col("rank") < F.col("p_first") + F.col("p_ranks"))
     met = ranked.join(F.broadcast(table_), inside).withColumn("local", F.col("rank") - F.col("p_first"))
