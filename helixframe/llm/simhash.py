@@ -11,6 +11,15 @@ links only.
 Equal fingerprints are one node from the start (partial aggregation collapses copies before the shuffle),
 so groups of copies cost nothing here. Components come from alternating stars.
 
+`near_dedup` has its own measure: texts are near copies if the sets of their five-word shingles have a
+Jaccard similarity of SIMILAR or more. No radius of 64 bits holds such pairs (at 0.8 they are some ten bits
+apart), so candidates share one of BANDS bands of ROWS minima of the shingle hashes (at 0.8 with probability
+0.9993, above it more), and every candidate is verified on the whole shingle sets. Texts of one set are one
+node. First each band's bucket is a star around one node; then buckets that still hold several components
+give all pairs across them, so the components are those of all candidate pairs, while a large group never
+gives all its pairs. Sizes too far apart, and signatures five standard deviations from SIMILAR, are
+dropped before the sets are read.
+
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any
 other; with fewer words than the shingle size the whole word sequence is the one shingle; repeated rows
 and ids give one output row each; an empty table gives no rows; other columns are not read.
@@ -28,6 +37,7 @@ from helixframe.llm.common import components, materialize, table, text_of
 
 SEED = 42
 BITS, SEGMENT_BITS, MAX_DISTANCE = 64, 32, 3
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 6
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -109,9 +119,115 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(whole, "fp").select("id", "row_hash", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; all columns stay."""
-    keep = near_groups(docs, id_col, text_col, size).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("row_hash").alias("__hash"))
+def shingle_set(text: str | None, size: int = SHINGLE):
+    """The distinct XXH64 values of a text's word shingles, sorted; all words are the one shingle of a shorter text."""
+    import numpy as np
+    import xxhash
+
+    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    found = (b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), dtype=np.uint64))
+
+
+def _minima(shingles):
+    """The minima of a shingle set under BANDS * ROWS shared random orders."""
+    import numpy as np
+
+    rng = np.random.default_rng(SEED)
+    factor, shift = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[at : at + 1024, None] * (factor | np.uint64(1)) + shift).min(axis=0))
+    return least
+
+
+def _signature_batches(batches: Iterator, size: int) -> Iterator:
+    """Per text the node (hash of its shingle set), the set's size, a bit of each minimum and the key of each band."""
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    for batch in batches:
+        nodes, sizes, bits, keys = [], [], [], []
+        for text in batch.column(1).to_pylist():
+            found = shingle_set(text, size)
+            least = _minima(found)
+            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            sizes.append(len(found))
+            mixed = least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)
+            bits.append(np.packbits(np.pad(mixed.astype(np.uint8), (0, -len(mixed) % 64))).view(np.int64).tolist())
+            keys.append([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))])
+        signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+        columns = [pa.array(signed(nodes)), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(signed(keys).tolist(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "row_hash", "node", "size", "bits", "keys"])
+
+
+def _set_batches(batches: Iterator, size: int) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = [shingle_set(x, size).view(np.int64) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are at least so similar."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_hash"), "node")
+    texts = docs.select(text_of(text_col).alias("text")).select("text", F.xxhash64("text").alias("row_hash")).join(asked, "row_hash")
+    sets = materialize(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(lambda b: _set_batches(b, size), "node long, shingles array<long>"), "shingles")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return materialize(met.where(both + 1e-9 >= least * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """One row per row of docs: id, row_hash, component_id (the smallest id that verified links reach)."""
+    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", "text", F.xxhash64("text").alias("row_hash"))
+    kind = source.schema["id"].dataType.simpleString()
+    signed = materialize(source.mapInArrow(lambda b: _signature_batches(b, size), f"id {kind}, row_hash long, node long, size long, bits array<long>, keys array<long>"), "signatures")
+    first = lambda c: F.min_by(c, "row_hash").alias(c)
+    nodes = materialize(signed.groupBy("node").agg(F.min("id").alias("rep"), F.min("row_hash").alias("row_hash"), first("size"), first("bits"), first("keys")), "nodes")
+
+    placed = nodes.select("node", F.explode("keys").alias("key"))
+    stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("n > 1").drop("n")
+    buckets = materialize(placed.join(stars, "key").join(nodes.select("node", "size", "bits"), "node"), "buckets")
+
+    words = -(-BANDS * ROWS // 64)
+    differ = (1 - least) / 2
+    most = int(BANDS * ROWS * differ + 5 * (BANDS * ROWS * differ * (1 - differ)) ** 0.5)
+
+    def fits(a: str, b: str):
+        apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(words)), F.lit(0))
+        return (F.least(f"{a}.size", f"{b}.size") + 1e-9 >= least * F.greatest(f"{a}.size", f"{b}.size")) & (apart <= most)
+
+    def pair(a: str, b: str):
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    centres = nodes.select(F.col("node").alias("centre"), "size", "bits").alias("c")
+    spokes = materialize(buckets.where("node <> centre").alias("m").join(centres, (F.col("m.centre") == F.col("c.centre")) & fits("m", "c")).select(*pair("m.node", "c.centre")).distinct(), "pairs")
+    links_1 = _verified(spokes, nodes, docs, text_col, size, least)
+    known = components(links_1)
+
+    named = materialize(buckets.join(known, "node", "left").select("key", "node", "size", "bits", F.coalesce("component", "node").alias("component")), "buckets")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
+    open_ = materialize(named.join(mixed, "key"), "buckets")
+    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & fits("p", "q")
+    rest = open_.where("component <> main").alias("p").join(open_.alias("q"), across).select(*pair("p.node", "q.node")).distinct().join(spokes, ["a", "b"], "left_anti")
+    links_2 = _verified(materialize(rest, "pairs"), nodes, docs, text_col, size, least)
+
+    member = components(links_1.unionByName(links_2))
+    least_id = member.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = member.join(least_id, "component").select("node", "component_id")
+    whole = materialize(nodes.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "groups")
+    return signed.select("id", "row_hash", "node").join(whole, "node").select("id", "row_hash", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """docs with one document of each group of similar_groups, the one with the smallest id; all columns stay."""
+    keep = similar_groups(docs, id_col, text_col, size, least).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("row_hash").alias("__hash"))
     return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__hash")), "left_semi")
 
 

@@ -123,6 +123,29 @@ def test_near_groups(spark):
     assert kept.columns == docs(spark).columns and {0, 3, 4} <= {r.doc_id for r in kept.collect()}
 
 
+def test_near_dedup_by_five_word_jaccard(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = []
+    for g in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for edits in range(6):  # one to five changed words: similarities on both sides of 0.8
+            words = list(base)
+            for at in rng.sample(range(150), edits):
+                words[at] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a // 6 * 6, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    kept = {r.doc_id for r in simhash.near_dedup(docs(spark, texts, repeat=False)).collect()}
+    assert kept == set(root) and len(kept) < 200
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "&#60;s> &amp; &amp;#60;", None, "", "<s>[INST]", "a\nb", "&", "] x", "<</s>s>"]
     rows = [(c, t, role, texts[(c * 5 + t) % len(texts)], "x") for c in range(12) for t, role in enumerate(["system", "user", "assistant", "INST", None, "a] b", "</s>"])]
