@@ -3,15 +3,17 @@
 Base spans (e-mail addresses, IP addresses, card and phone numbers) come from patterns. The terms around
 them are judged by corpus co-occurrence (Sanchez and Batet 2016): with document frequencies over the whole
 corpus, a term t reveals an entity value c by PMI(c; t) / IC(c), which is 1 if t stands nowhere but near c.
-A pair counts only if at least CONTEXTS different word windows around c hold t, so copies of one passage
-are one piece of evidence. Terms at or above GENERALISE are spans of kind `term` wherever they stand;
+Every pair is judged, also one that occurs once. A pair counts unless chance explains it: with t and c in
+of_term and of_entity of N documents, chance puts them together of_term * of_entity / N = m times, and k
+times or more with probability at most m^k / k!, which must not exceed CHANCE. k is the number of different
+word windows around c that hold t, so copies of one passage are one piece of evidence. Terms at or above GENERALISE are spans of kind `term` wherever they stand;
 `sanitise` replaces them by their shape, and removes them at or above REMOVE.
 
-Steps, each over all rows: (1) patterns and windows, one narrow row per document; (2) pairs of entity and
-term with enough different windows, by aggregation; (3) document frequencies of just these terms, counted
+Steps, each over all rows: (1) patterns and windows, one narrow row per document; (2) all pairs of entity and
+term, by aggregation; (3) document frequencies of just these terms, counted
 in the scan and pre-aggregated per task; (4) spans of the revealing terms. Between the steps only a bit
-set of fixed size (SET_BITS) is sent with the tasks; it may let extra terms through, which an equi-join
-removes, so results are exact. Where a step's set is empty, the step would add nothing and isn't run.
+set is sent with the tasks, of some 32 bits per term within SET_BITS and MAX_SET_BITS, three of them set; it may let extra
+terms through, which an equi-join removes, so results are exact. Where a step's set is empty, the step would add nothing and isn't run.
 
 Defined cases: a null text counts as empty; patterns are leftmost and non-overlapping per kind, failing
 matches are dropped without retry; repeated rows get equal results; an empty table gives no rows; other
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import materialize, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, CONTEXTS, GENERALISE, REMOVE, SET_BITS = 8, 3, 0.9, 0.98, 1 << 20
+WINDOW, CHANCE, GENERALISE, REMOVE, SET_BITS, MAX_SET_BITS, PROBES = 8, 0.05, 0.9, 0.98, 1 << 20, 1 << 25, (0, 21, 39)
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,18 +120,24 @@ def _base_batches(batches: Iterator) -> Iterator:
 
 
 def _has(bits: bytes, h: int) -> int:
-    at = h % SET_BITS
-    return bits[at >> 3] >> (at & 7) & 1
+    size = 8 * len(bits)
+    for shift in PROBES:
+        at = (h >> shift) % size
+        if not bits[at >> 3] >> (at & 7) & 1:
+            return 0
+    return 1
 
 
 def bit_set(terms: DataFrame) -> bytes:
-    """The terms' hashes as a set of SET_BITS bits; the driver gets at most one row per set byte, each of a few bytes."""
-    at = F.pmod(F.col("term"), F.lit(SET_BITS))
-    rows = terms.select(F.floor(at / 8).cast("int").alias("byte"), F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int")).alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
-    out = bytearray(SET_BITS // 8)
-    for r in rows:
-        out[r["byte"]] = r["bits"]
-    return bytes(out)
+    """The terms' hashes as a set of bits; the driver gets at most one row per set byte, each of a few bytes, as Arrow columns."""
+    import numpy as np
+
+    size = min(MAX_SET_BITS, max(SET_BITS, 1 << (32 * terms.agg(F.approx_count_distinct("term")).first()[0]).bit_length()))
+    at = F.pmod("probe", F.lit(size))
+    rows = terms.select(F.explode(F.array(*[F.shiftright("term", x) for x in PROBES])).alias("probe")).select(F.floor(at / 8).cast("int").alias("byte"), F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int")).alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 8, dtype=np.uint8)
+    out[rows["byte"].to_numpy()] = rows["bits"].to_numpy()
+    return out.tobytes()
 
 
 def _frequency_batches(batches: Iterator, bits: bytes) -> Iterator:
@@ -163,12 +171,12 @@ def _term_batches(batches: Iterator, bits: bytes) -> Iterator:
                 yield pa.RecordBatch.from_arrays([*ids, *(pa.array(list(x), pa.int64()) for x in zip(*part, strict=True))], ["id", "row_hash", "term", "start", "end"])
 
 
-def disclosures(found: DataFrame, rows: DataFrame, contexts: int = CONTEXTS, least: float = GENERALISE) -> DataFrame | None:
-    """(term, disclosure) of the terms that reveal an entity; None if no pair has enough windows."""
+def disclosures(found: DataFrame, rows: DataFrame, chance: float = CHANCE, least: float = GENERALISE) -> DataFrame | None:
+    """(term, disclosure) of the terms that reveal an entity; None if there is no pair."""
     windows = found.where(F.size("windows") > 0).select("id", "row_hash", F.explode("windows").alias("w")).select("id", "row_hash", "w.*")
     seen = windows.select("entity", F.explode("terms").alias("term"), "window", "id", "row_hash")
     evidence = seen.distinct().groupBy("entity", "term", "window").agg(F.count(F.lit(1)).alias("documents"))
-    pairs = materialize(evidence.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("documents").alias("together")).where(F.col("contexts") >= contexts), "pairs")
+    pairs = materialize(evidence.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("documents").alias("together")), "pairs")
     if pairs.isEmpty():
         return None
     bits = bit_set(pairs.select("term"))
@@ -178,7 +186,9 @@ def disclosures(found: DataFrame, rows: DataFrame, contexts: int = CONTEXTS, lea
     pmi = F.log2(F.least("together", "of_term", "of_entity") * F.lit(float(total)) / (F.col("of_term") * F.col("of_entity")))
     ic = F.log2(F.lit(float(total)) / F.col("of_entity"))
     judged = pairs.join(of_entity, "entity").join(of_term, "term").where("of_entity < %d" % total).withColumn("disclosure", pmi / ic)
-    return materialize(judged.where(F.col("disclosure") >= least).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
+    k = F.col("contexts")
+    by_chance = k * F.log(F.col("of_term") * F.col("of_entity") / F.lit(float(total))) - F.when(k <= 20, F.log(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double"))).otherwise(k * F.log(k) - k)  # k! >= (k / e)^k
+    return materialize(judged.where((F.col("disclosure") >= least) & (by_chance <= F.log(F.lit(chance)))).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

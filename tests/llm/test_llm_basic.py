@@ -268,6 +268,16 @@ def test_pii_revealing_terms(spark):
     assert "zorblatt" not in clean[0] and "[EMAIL]" in clean[0] and clean[50] == texts[50]
 
 
+def test_pii_terms_beside_an_entity_seen_once(spark):
+    filler = lambda i: " ".join(f"w{(i * 7 + k * k) % 40}" for k in range(30))
+    texts = [f"{filler(1)} zorblatt z@mail.example.org {filler(4)}", f"{filler(2)} quimby +1 (212) 555-0100 {filler(3)}"] + [filler(i) for i in range(300)]
+    found = {r.id: r.spans for r in pii.find(docs(spark, texts)).collect()}
+    for i, name in enumerate(("zorblatt", "quimby")):
+        at = texts[i].index(name)
+        assert f"term:{at}:{at + len(name)}" in found[i].split(",")
+    assert all(found[i] == "" for i in range(2, 302))
+
+
 def test_pii_copies_are_one_piece_of_evidence(spark):
     texts = ["rare words around q@mail.example.org here in this text"] * 10 + [f"plain {i} text" for i in range(100)]
     assert all("term:" not in r.spans for r in pii.find(docs(spark, texts)).collect())
