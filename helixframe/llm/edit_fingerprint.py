@@ -11,9 +11,11 @@ their whole length, and no length bound is built in.
 Likeness of two fingerprints: 2 * (share of equal bits) - 1, at least 0; unrelated texts have 0 in the
 mean up to chance agreement of code points, equal texts 1.
 
-`near_groups` finds near copies: bands of sampled bits are the keys of an equi-join of distinct
-fingerprints, every match is verified over all bits within the join, and components of the verified links
-are the groups. Copies are one node before the bands. A band of 40 bits meets by chance for a pair in some
+`near_ids` finds near copies: bands of sampled bits are the keys of buckets of distinct fingerprints, every
+link is verified over all bits, and components of the verified links are the groups. Each bucket first is a
+star around one node; then buckets that still hold several components are asked for all pairs across them,
+so the groups are those of all pairs, and a large group never gives all its pairs. op5 runs it over all
+fingerprints. Copies are one node before the bands. A band of 40 bits meets by chance for a pair in some
 10^10, so candidates stay few at any size; a pair at likeness 0.9 shares one of 32 bands with probability 0.99.
 
 `edited_neighbours` needs each document's successor in descending id. Ids are cut into ranges at
@@ -230,22 +232,36 @@ def _words(fp: str):
     return F.array(*[F.conv(F.substring(fp, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(BITS // 64)])
 
 
-def near_groups(fingerprints: DataFrame, id_col: str = "id", least: float = NEAR) -> DataFrame:
-    """(id, fingerprint, near_id): near_id is the smallest id of the group of verified links at likeness `least` or more."""
+def near_ids(fingerprints: DataFrame, id_col: str = "id", least: float = NEAR) -> DataFrame:
+    """(fingerprint, near_id) of each distinct fingerprint: near_id is the smallest id of the group of verified links at likeness `least` or more."""
     nodes = materialize(fingerprints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")).withColumn("node", F.xxhash64("fingerprint")), "edit-nodes")
-    keyed = nodes.select("node", _words("fingerprint").alias("bits"), F.explode(bands()).alias("b")).select("node", "bits", "b.band", "b.key")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    apart = sum((F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(BITS // 64)), F.lit(0))
-    near = apart <= int(BITS * (1 - least) / 2)
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near)
-    member = components(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    named = member.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("near_id"))
-    linked = member.join(named, "component").select("node", "near_id")
-    whole = nodes.join(linked, "node", "left").select("fingerprint", F.coalesce("near_id", "rep").alias("near_id"))
-    return fingerprints.select(F.col(id_col).alias("id"), "fingerprint").join(whole, "fingerprint").select("id", "fingerprint", "near_id")
+    placed = nodes.select("node", F.explode(bands()).alias("b")).select("node", F.xxhash64("b.band", "b.key").alias("key"))
+    stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("n > 1").drop("n")
+    buckets = materialize(placed.join(stars, "key"), "edit-buckets")
+    bits = nodes.select("node", _words("fingerprint").alias("bits"))
+
+    def near(a: str, b: str):
+        return sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS // 64)), F.lit(0)) <= int(BITS * (1 - least) / 2)
+
+    spokes = buckets.where("node <> centre").select("node", "centre").distinct().join(bits, "node").alias("m")
+    links_1 = materialize(spokes.join(bits.alias("c"), (F.col("m.centre") == F.col("c.node")) & near("m", "c")).select(F.col("m.node").alias("a"), F.col("m.centre").alias("b")), "edit-links")
+    named = materialize(buckets.join(components(links_1), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "edit-buckets")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
+    open_ = materialize(named.join(mixed, "key").join(bits, "node"), "edit-buckets")
+    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & near("p", "q")
+    links_2 = materialize(open_.where("component <> main").alias("p").join(open_.alias("q"), across).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), "edit-links")
+    member = components(links_1.unionByName(links_2))
+    smallest = member.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("near_id"))
+    linked = member.join(smallest, "component").select("node", "near_id")
+    return materialize(nodes.join(linked, "node", "left").select("fingerprint", F.coalesce("near_id", "rep").alias("near_id")), "edit-groups")
+
+
+def near_groups(fingerprints: DataFrame, id_col: str = "id", least: float = NEAR) -> DataFrame:
+    """(id, fingerprint, near_id) of every row."""
+    return fingerprints.select(F.col(id_col).alias("id"), "fingerprint").join(near_ids(fingerprints, id_col, least), "fingerprint").select("id", "fingerprint", "near_id")
 
 
 def op5_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of the whole `documents` table and of its edited texts."""
-    found = edited_neighbours(table(spark, sf_dir, "documents"))
-    return found.withColumnRenamed("id", "doc_id")
+    """Fingerprints of the whole `documents` table and of its edited texts, and the group of near copies."""
+    found = materialize(edited_neighbours(table(spark, sf_dir, "documents")), "edited")
+    return found.join(near_ids(found), "fingerprint").select(F.col("id").alias("doc_id"), *found.columns[1:], "near_id")

@@ -240,6 +240,21 @@ def test_edit_near_groups(spark):
     assert found == {i: (i if i < 12 else i - 12 if i < 18 else i - 18) for i in range(21)}
 
 
+def test_op5_groups_near_copies(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefghij klmnop") for _ in range(3000)) for _ in range(8)]
+    texts = base + base[:3] + [t + "x" for t in base[:6]]
+    docs(spark, texts, repeat=False).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in edit_fingerprint.op5_edit_fingerprint(spark, str(tmp_path)).collect()}
+    fps = [edit_fingerprint.fingerprint(t) for t in texts]
+    for i, f in enumerate(fps):
+        near = [j for j, g in enumerate(fps) if edit_fingerprint.likeness(f, g) >= edit_fingerprint.NEAR]
+        assert found[i].near_id == min(near)
+    assert found[8].near_id == 0 and found[11].near_id == 0 and found[7].near_id == 7
+
+
 def test_pii_spans():
     text = "mail a.b+c@x-y.co.uk, @no, u@v no@dot. ip 10.0.0.255 256.1.1.1 1.2.3.4.5 card 4111 1111 1111 1111, 4111111111111112 tel +1 (212) 555-0100 +12"
     found = {(k, text[s:e]) for k, s, e in pii.base_spans(text)}
