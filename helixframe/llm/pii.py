@@ -26,6 +26,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -88,12 +89,25 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word, 7) - (1 << 63)
 
 
+def _words_before(text: str, start: int) -> list[str]:
+    """The last WINDOW words before start; reads twice as far back until they are all found whole."""
+    reach = 40 * WINDOW
+    while True:
+        low = max(0, start - reach)
+        found = list(_TERM.finditer(text, low, start))
+        if low and found and found[0].start() == low:  # may be cut
+            del found[0]
+        if not low or len(found) >= WINDOW:
+            return [m.group().lower() for m in found[-WINDOW:]]
+        reach *= 2
+
+
 def _windows(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """Per base span: entity, window (hash of its words) and the hashes of the terms in it."""
     out = []
     for kind, start, end in spans:
-        left = [m.group().lower() for m in _TERM.finditer(text, max(0, start - 40 * WINDOW), start)][-WINDOW:]
-        right = [m.group().lower() for m in _TERM.finditer(text, end, min(len(text), end + 40 * WINDOW))][:WINDOW]
+        left = _words_before(text, start)
+        right = [m.group().lower() for m in islice(_TERM.finditer(text, end), WINDOW)]
         out.append({"entity": _hash(f"{kind}:{text[start:end]}"), "window": _hash(" ".join([*left, "|", *right])), "terms": sorted({_hash(w) for w in (*left, *right)})})
     return out
 

@@ -293,6 +293,13 @@ def test_pii_terms_beside_an_entity_seen_once(spark):
     assert all(found[i] == "" for i in range(2, 302))
 
 
+def test_pii_windows_have_no_character_bound():
+    words = [f"{c}{i}" * 50 for c in "lr" for i in range(pii.WINDOW)]
+    text = f"skipped {' '.join(words[: pii.WINDOW])} z@mail.example.org {' , '.join(words[pii.WINDOW :])} skipped"
+    (window,) = pii._windows(text, pii.base_spans(text))
+    assert window["terms"] == sorted(map(pii._hash, words))
+
+
 def test_pii_copies_are_one_piece_of_evidence(spark):
     texts = ["rare words around q@mail.example.org here in this text"] * 10 + [f"plain {i} text" for i in range(100)]
     assert all("term:" not in r.spans for r in pii.find(docs(spark, texts)).collect())
