@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op3_chat_format": chat_format.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op3_chat_format": chat_format.ORACLE, "op7_mixing": mixing.ORACLE, "op9_sharding": sharding.ORACLE}

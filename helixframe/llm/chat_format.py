@@ -13,7 +13,8 @@ contract's unit of output; a turn's rendering happens before that, row by row.
 
 Defined cases: a null text or role counts as empty; a null conversation id is one conversation; turns sort
 by turn, then role, then text, null turns first, and repeated rows are turns of their own; an empty table
-gives no rows (the query adds conversation -1); other columns are not read.
+gives no rows (the query adds conversation -1); a very long text is rendered and read back whole; other columns are not
+read.
 """
 
 from __future__ import annotations

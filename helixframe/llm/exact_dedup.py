@@ -6,10 +6,11 @@ two texts with one hash stay two groups. Partial aggregation leaves one row per
 shuffle, however many copies there are. A row finds its group by (MD5, SHA-256) in an equi-join without an
 aggregate above it, so Spark may split the partition of a hot text.
 
-Defined cases: a null text counts as empty; rows with a null id count in their group, are its keeper only
-if no row has an id, and compare null-safe; rows that repeat both id and text share their decision in
-`exact_groups`, and `exact_dedup` keeps one of them; an empty table gives no rows; other columns are never
-read by `exact_groups` and pass unchanged through `exact_dedup`.
+Defined cases: a null text counts as empty; an empty text is a text like any other, and a very long one is hashed and
+compared whole; rows with a null id count in their group, are its keeper only if no row has an id, and compare
+null-safe; ties of the smallest id, that is rows that repeat both id and text, share their decision in `exact_groups`, and
+`exact_dedup` keeps one of them, the one with the smallest hash over all columns; an empty table gives no rows; other
+columns, whatever their names, are never read by `exact_groups` and pass unchanged through `exact_dedup`.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACE, table, text_of
+from helixframe.llm.common import SPACE, row_of, row_order, table, text_of
 
 
 def normalised(text: str = "text") -> Column:
@@ -47,13 +48,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher=content_hash) -> DataFrame:
     """docs without the rows that copy another one; all columns stay.
 
-    The join carries the id as a third key, so the copies of a hot text spread over all tasks.
+    The join carries the id as a third key, so the copies of a hot text spread over all tasks. Of rows that agree in id
+    and text, the one with the smallest hash over all columns stays, so a task that runs again keeps the same row.
     """
     norm = normalised(text_col)
     key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null")).alias("key")  # noqa: E731  never null, so an ordinary equi-join
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(F.col(id_col)), hasher(norm).alias("h"), F.sha2(norm, 256).alias("sha"))
+    rows = docs.select(row_of(docs).alias("row"), key(F.col(id_col)), hasher(norm).alias("h"), F.sha2(norm, 256).alias("sha"))
     keep = _groups(docs, id_col, text_col, hasher).select("h", "sha", key(F.col("keep_id")))
-    return rows.join(keep, ["h", "sha", "key"]).dropDuplicates(["h", "sha", "key"]).select("row.*")
+    met = rows.join(keep, ["h", "sha", "key"])
+    return met.groupBy("h", "sha", "key").agg(F.min_by("row", row_order("row", docs.schema)).alias("row")).select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ are dealt to partitions and sorted by a hash of (id, copy): a global shuffle wit
 Expected source sizes match the weights exactly; the same seed gives the same rows on any cluster.
 
 Sizes are code points of the whole texts over all rows. Default weights are proportional to the square
-root of the sizes (temperature 2). The rate table has a row per source; it is broadcast only if it was
-counted to hold at most BROADCAST_SOURCES rows, beyond that it is an ordinary equi-join.
-
-Defined cases: a null text has size 0 and a null source is a source of its own; a source of size 0 keeps
-rate 1; a null id is hashed as the text 'null'; repeated rows get the same count each; an empty table
-gives no rows; other columns pass through, except that a column named copy, copies, rate or shuffle_key
-is replaced.
+root of the sizes (temperature 2). The rate table has a row per source with its distribution function; it is broadcast
+only if it was measured to hold at most BROADCAST_BYTES, beyond that it is an ordinary equi-join.
+
+Defined cases: a null or empty text has size 0, a very long one counts whole, and a null source is a source of its own; a
+source of size 0 keeps rate 1; a null id is hashed as the text 'null'; repeated rows and ids get the same count each;
+copies of rows with one id and copy number tie in the shuffle key and stand together in any order; an empty table gives no
+rows; other columns pass through whatever their names: where docs has a column named rate, copies, copy or shuffle_key,
+the added one gets a final underscore.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize, table
+from helixframe.llm.common import free_name, materialize, row_of, table
 
 SEED = 17
-BROADCAST_SOURCES = 10_000
+BROADCAST_BYTES = 8 << 20
 ADDED = ("rate", "copies", "copy", "shuffle_key")
 
 
@@ -58,18 +59,18 @@ def thresholds(rate: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", ordered: bool = True) -> DataFrame:
     """docs with each row repeated by its Poisson count, in global random order; adds rate, copies, copy, shuffle_key."""
-    law = materialize(thresholds(rates(docs, weights, source_col, text_col)), "rates").select(F.col("source").alias("__source"), "rate", "cdf")
-    if law.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    law = materialize(thresholds(rates(docs, weights, source_col, text_col)), "rates").select(F.col("source").alias("of_source"), "rate", "cdf")
+    size = law.agg(F.sum(64 + 8 * F.size("cdf") + F.coalesce(F.octet_length(F.col("of_source").cast("string")), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         law = F.broadcast(law)
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    drawn = rows.withColumn("__u", uniform(name, F.lit(seed)))
-    met = drawn.join(law, F.col(source_col).eqNullSafe(F.col("__source")))
-    counted = met.withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("__u"))))
+    drawn = docs.select(row_of(docs).alias("row"), name.alias("name"), F.col(source_col).alias("source")).withColumn("u", uniform(F.col("name"), F.lit(seed)))
+    met = drawn.join(law, F.col("source").eqNullSafe(F.col("of_source")))
+    counted = met.withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("u"))))
     copied = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keyed = copied.withColumn("shuffle_key", F.md5(F.concat_ws("|", name, F.col("copy"), F.lit(seed))))
-    kept = keyed.select(*rows.columns, *ADDED)
-    return kept.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if ordered else kept
+    keyed = copied.select("row", *ADDED[:-1], F.md5(F.concat_ws("|", "name", F.col("copy"), F.lit(seed))).alias("shuffle_key"))
+    dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if ordered else keyed
+    return dealt.select("row.*", *[F.col(c).alias(free_name(c, docs.columns)) for c in ADDED])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +87,9 @@ k AS (SELECT source, rate, unnest(range(0, (floor(rate + 12 * sqrt(rate) + 30)):
 l AS (SELECT source, rate, k, -rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END
         - sum(CASE WHEN k = 0 THEN 0 ELSE ln(k::DOUBLE) END) OVER (PARTITION BY source ORDER BY k) AS logp FROM k),
 c AS (SELECT source, rate, k, sum(exp(logp)) OVER (PARTITION BY source ORDER BY k) AS c FROM l),
-u AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|{SEED}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents),
-n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, c.rate, count(*) FILTER (c.c <= u.u) AS copies
-      FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY u.doc_id, u.text, u.lang, u.source, u.n_chars, c.rate),
+u AS (SELECT *, row_number() OVER () AS row_no, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|{SEED}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT u.row_no, u.doc_id, u.text, u.lang, u.source, u.n_chars, c.rate, count(*) FILTER (c.c <= u.u) AS copies
+      FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY u.row_no, u.doc_id, u.text, u.lang, u.source, u.n_chars, c.rate),
 x AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS rate, copies::INT AS copies, copy::INT AS copy,
        md5(coalesce(doc_id::VARCHAR, 'null') || '|' || copy || '|{SEED}') AS shuffle_key FROM x

@@ -5,16 +5,16 @@ bins; combinations of few lengths that fill the window exactly are enumerated; n
 finds how often to repeat each so that they use up the histogram; the repeats are rounded down and what is
 left is packed greedily, largest first. All of this works on at most WINDOW / GRAIN bin counts, whatever
 the number of documents. The result is a table of slots (bin, ranks, first sequence); each piece gets its
-rank in its bin and with it sequence and place. Ranks are numbered in chunks, so a bin that holds a third
-of all pieces is many tasks.
+rank in its bin and with it sequence and place. Ranks are numbered in chunks, some four times the square root of a bin's
+pieces, so a bin that holds a third of all pieces is many tasks at any size.
 
 Token ids are computed once and only lengths and checksums are written, so the later steps move some
 dozen bytes a piece. Words repeat, so their ids are kept in bounded dictionaries of each Python worker;
 the ids equal those of the whole text because the tokenizer never joins over a space or line break (tested).
 
 Defined cases: a null or empty text is the end id alone; a document longer than the window gives pieces of
-the full window and a rest; repeated rows and ids are documents of their own; an empty table gives no
-rows; other columns are not read.
+the full window and a rest, whatever its length; repeated rows and ids are documents of their own, and which of several
+equal pieces comes first makes no difference; a null id stays null; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import materialize, number_within, table, text_of
+from helixframe.llm.common import chunks_for, materialize, number_within, table, text_of
 
 WINDOW, GRAIN, DEPTH, END_ID = 4096, 16, 3, 2
-CHUNKS, CHUNK_ROWS = 1024, 64  # a bin is numbered in chunks of about CHUNK_ROWS rows, CHUNKS at most
 VOCABULARY = "word_bpe_49k.json"
 CACHE_PARTS, CACHE_PRETOKENS, CACHE_LENGTH = 300_000, 600_000, 48
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
@@ -235,7 +234,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     written = materialize(binned, "pieces")
     histogram = {r["bin"]: r["n"] for r in written.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # window / GRAIN rows at most
     table_ = spark.createDataFrame(slots(plan(histogram, window // GRAIN)), SLOTS)  # bounded like the histogram
-    chunks = [F.lit(x) for b, n in histogram.items() for x in (b, min(CHUNKS, -(-n // CHUNK_ROWS)))]
+    chunks = [F.lit(x) for b, n in histogram.items() for x in (b, chunks_for(n))]
     of_bin = F.element_at(F.create_map(*chunks), F.col("bin")) if chunks else F.lit(1)
     chunk = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), of_bin.cast("long"))
     ranked = number_within(written, ["bin"], chunk, ["doc_id", "start", "length", "ids_crc32"], "rank")

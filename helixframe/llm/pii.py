@@ -3,21 +3,22 @@
 Base spans (e-mail addresses, IP addresses, card and phone numbers) come from patterns. The terms around
 them are judged by corpus co-occurrence (Sanchez and Batet 2016): with document frequencies over the whole
 corpus, a term t reveals an entity value c by PMI(c; t) / IC(c), which is 1 if t stands nowhere but near c.
-Every pair is judged, also one that occurs once. A pair counts unless chance explains it: with t and c in
+All four counts are rows of the corpus, repeated ones included. Every pair is judged, also one that occurs once. A pair counts unless chance explains it: with t and c in
 of_term and of_entity of N documents, chance puts them together of_term * of_entity / N = m times, and k
 times or more with probability at most m^k / k!, which must not exceed CHANCE. k is the number of different
 word windows around c that hold t, so copies of one passage are one piece of evidence. Terms at or above GENERALISE are spans of kind `term` wherever they stand;
 `sanitise` replaces them by their shape, and removes them at or above REMOVE.
 
-Steps, each over all rows: (1) patterns and windows, one narrow row per document; (2) all pairs of entity and
+Steps, each over all rows: (1) patterns, and the pairs of entity, term and window, one narrow row per document; (2) all pairs of entity and
 term, by aggregation; (3) document frequencies of just these terms, counted
 in the scan and pre-aggregated per task; (4) spans of the revealing terms. Between the steps only a bit
 set is sent with the tasks, of some 32 bits per term within SET_BITS and MAX_SET_BITS, three of them set; it may let extra
 terms through, which an equi-join removes, so results are exact. Where a step's set is empty, the step would add nothing and isn't run.
 
-Defined cases: a null text counts as empty; patterns are leftmost and non-overlapping per kind, failing
-matches are dropped without retry; repeated rows get equal results; an empty table gives no rows; other
-columns are not read.
+Defined cases: a null text counts as empty; a very long text is read whole and its term spans are written in blocks;
+patterns are leftmost and non-overlapping per kind, failing matches are dropped without retry; a term that ties at a
+threshold is above it; repeated rows, also those with a null id, get equal results; an empty table gives no rows; other
+columns, whatever their names, are not read and pass through `sanitise`.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize, table, text_of
+from helixframe.llm.common import materialize, row_of, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, CHANCE, GENERALISE, REMOVE, SET_BITS, MAX_SET_BITS, PROBES = 8, 0.05, 0.9, 0.98, 1 << 20, 1 << 25, (0, 21, 39)
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # the contract's matches: digits are taken greedily, so none starts or ends within a run of them
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W_]+")
@@ -102,14 +103,20 @@ def _words_before(text: str, start: int) -> list[str]:
         reach *= 2
 
 
-def _windows(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Per base span: entity, window (hash of its words) and the hashes of the terms in it."""
-    out = []
+def _windows(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[int], list[dict]]:
+    """The distinct entities of a text, and its evidence: entity, term and the window (hash of its words) that holds both.
+
+    Each pair of entity and term also stands once without a window: that counts the row.
+    """
+    entities, pairs = set(), set()
     for kind, start, end in spans:
         left = _words_before(text, start)
         right = [m.group().lower() for m in islice(_TERM.finditer(text, end), WINDOW)]
-        out.append({"entity": _hash(f"{kind}:{text[start:end]}"), "window": _hash(" ".join([*left, "|", *right])), "terms": sorted({_hash(w) for w in (*left, *right)})})
-    return out
+        entity, window = _hash(f"{kind}:{text[start:end]}"), _hash(" ".join([*left, "|", *right]))
+        entities.add(entity)
+        for term in {_hash(w) for w in (*left, *right)}:
+            pairs |= {(entity, term, window), (entity, term, None)}
+    return list(entities), [{"entity": e, "term": t, "window": w} for e, t, w in pairs]
 
 
 def _join(spans: list[tuple[str, int, int]]) -> str:
@@ -119,18 +126,19 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
 def _base_batches(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    kind = pa.list_(pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("terms", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("window", pa.int64())]))
     for batch in batches:
         counts: list[list[int]] = [[] for _ in KINDS]
-        sums, spans, windows = [], [], []
+        sums, spans, entities, pairs = [], [], [], []
         for text in batch.column(2).to_pylist():
             found = base_spans(text)
             for n, k in zip(counts, KINDS, strict=True):
                 n.append(sum(s[0] == k for s in found))
             spans.append(_join(found))
             sums.append(hashlib.sha256(spans[-1].encode()).hexdigest())
-            windows.append(_windows(text, found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(n, pa.int64()) for n in counts), pa.array(sums), pa.array(spans), pa.array(windows, kind)], ["id", "row_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "windows"])
+            for column, values in zip((entities, pairs), _windows(text, found), strict=True):
+                column.append(values)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(n, pa.int64()) for n in counts), pa.array(sums), pa.array(spans), pa.array(entities, pa.list_(pa.int64())), pa.array(pairs, kind)], ["id", "row_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "entities", "pairs"])
 
 
 def _has(bits: bytes, h: int) -> int:
@@ -187,17 +195,16 @@ def _term_batches(batches: Iterator, bits: bytes) -> Iterator:
 
 def disclosures(found: DataFrame, rows: DataFrame, chance: float = CHANCE, least: float = GENERALISE) -> DataFrame | None:
     """(term, disclosure) of the terms that reveal an entity; None if there is no pair."""
-    windows = found.where(F.size("windows") > 0).select("id", "row_hash", F.explode("windows").alias("w")).select("id", "row_hash", "w.*")
-    seen = windows.select("entity", F.explode("terms").alias("term"), "window", "id", "row_hash")
-    evidence = seen.distinct().groupBy("entity", "term", "window").agg(F.count(F.lit(1)).alias("documents"))
-    pairs = materialize(evidence.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("documents").alias("together")), "pairs")
+    evidence = found.select(F.explode("pairs").alias("p")).select("p.*").groupBy("entity", "term", "window").agg(F.count(F.lit(1)).alias("rows"))
+    counted = evidence.groupBy("entity", "term").agg(F.count("window").alias("contexts"), F.sum(F.when(F.col("window").isNull(), F.col("rows"))).alias("together"))
+    pairs = materialize(counted, "pairs")
     if pairs.isEmpty():
         return None
     bits = bit_set(pairs.select("term"))
     of_term = rows.select("text").mapInArrow(lambda b: _frequency_batches(b, bits), "term long, documents long").groupBy("term").agg(F.sum("documents").alias("of_term"))
-    of_entity = windows.select("entity", "id", "row_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     total = found.count()
-    pmi = F.log2(F.least("together", "of_term", "of_entity") * F.lit(float(total)) / (F.col("of_term") * F.col("of_entity")))
+    pmi = F.log2(F.col("together") * F.lit(float(total)) / (F.col("of_term") * F.col("of_entity")))
     ic = F.log2(F.lit(float(total)) / F.col("of_entity"))
     judged = pairs.join(of_entity, "entity").join(of_term, "term").where("of_entity < %d" % total).withColumn("disclosure", pmi / ic)
     k = F.col("contexts")
@@ -210,8 +217,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("row_hash"), "text")
     kind = rows.schema["id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    found = materialize(rows.mapInArrow(_base_batches, f"id {kind}, row_hash long, {counts}, base_sha256 string, spans string, windows array<struct<entity: long, window: long, terms: array<long>>>"), "pii")
-    base = found.drop("windows")
+    found = materialize(rows.mapInArrow(_base_batches, f"id {kind}, row_hash long, {counts}, base_sha256 string, spans string, entities array<long>, pairs array<struct<entity: long, term: long, window: long>>"), "pii")
+    base = found.drop("entities", "pairs")
     terms = disclosures(found, rows)
     if terms is None or terms.isEmpty():
         return base.withColumn("removed", F.lit(""))
@@ -251,10 +258,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def clean(text: pd.Series, spans: pd.Series, removed: pd.Series) -> pd.Series:
         return pd.Series([sanitise_text(t, s, r) for t, s, r in zip(text, spans, removed, strict=True)])
 
-    found = find(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("row_hash").alias("__hash"), "spans", "removed").dropDuplicates(["__id", "__hash"])
-    found = found.withColumnsRenamed({"spans": "__spans", "removed": "__removed"})
-    met = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__hash")))
-    return met.withColumn(text_col, clean(text_of(text_col), F.col("__spans"), F.col("__removed"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = find(docs, id_col, text_col).select("id", "row_hash", "spans", "removed").dropDuplicates(["id", "row_hash"])
+    rows = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("row_id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    met = rows.join(found, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("row_hash")))
+    cleaned = met.select("row", clean("text", "spans", "removed").alias("clean"))
+    return cleaned.select(*[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

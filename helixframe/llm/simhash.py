@@ -12,8 +12,9 @@ Equal fingerprints are one node from the start (partial aggregation collapses co
 so groups of copies cost nothing here. Components come from alternating stars.
 
 `near_dedup` has its own measure: texts are near copies if the sets of their five-word shingles have a
-Jaccard similarity of SIMILAR or more. No radius of 64 bits holds such pairs (at 0.8 they are some ten bits
-apart), so candidates share one of BANDS bands of ROWS minima of the shingle hashes (at 0.8 with probability
+Jaccard similarity of SIMILAR or more. Hamming balls can't find such pairs: at 0.8 a bit differs with probability 0.15, so
+pairs are some ten of 64 bits apart, and balls that reach them in segments long enough to be selective hold more than
+10^5 keys. So candidates share one of BANDS bands of ROWS minima of the shingle hashes (at 0.8 with probability
 0.9993, above it more), and every candidate is verified on the whole shingle sets. Texts of one set are one
 node. First each band's bucket is a star around one node; then buckets that still hold several components
 give all pairs across them, so the components are those of all candidate pairs, while a large group never
@@ -21,8 +22,10 @@ gives all its pairs. Sizes too far apart, and signatures five standard deviation
 dropped before the sets are read.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any
-other; with fewer words than the shingle size the whole word sequence is the one shingle; repeated rows
-and ids give one output row each; an empty table gives no rows; other columns are not read.
+other; with fewer words than the shingle size the whole word sequence is the one shingle; a very long text is read whole,
+its shingles in blocks; a null id is never the smallest unless a group has no other; repeated rows and ids give one
+output row each in `near_groups` and `similar_groups`, while `near_dedup` keeps one row of a group, also of rows that repeat
+one another; an empty table gives no rows; other columns, whatever their names, are not read and pass through `near_dedup`.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import components, materialize, table, text_of
+from helixframe.llm.common import components, materialize, row_of, row_order, table, text_of
 
 SEED = 42
 BITS, SEGMENT_BITS, MAX_DISTANCE = 64, 32, 3
@@ -142,7 +145,7 @@ def _minima(shingles):
 
 
 def _signature_batches(batches: Iterator, size: int) -> Iterator:
-    """Per text the node (hash of its shingle set), the set's size, a bit of each minimum and the key of each band."""
+    """Per text a 128-bit hash of its shingle set, the set's size, a bit of each minimum and the key of each band."""
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -152,14 +155,14 @@ def _signature_batches(batches: Iterator, size: int) -> Iterator:
         for text in batch.column(1).to_pylist():
             found = shingle_set(text, size)
             least = _minima(found)
-            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            nodes.append(xxhash.xxh3_128_digest(found.tobytes(), SEED))
             sizes.append(len(found))
             mixed = least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)
             bits.append(np.packbits(np.pad(mixed.astype(np.uint8), (0, -len(mixed) % 64))).view(np.int64).tolist())
             keys.append([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))])
         signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-        columns = [pa.array(signed(nodes)), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(signed(keys).tolist(), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "row_hash", "node", "size", "bits", "keys"])
+        columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(signed(keys).tolist(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "row_hash", "shingle_set", "size", "bits", "keys"])
 
 
 def _set_batches(batches: Iterator, size: int) -> Iterator:
@@ -184,12 +187,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
-    """One row per row of docs: id, row_hash, component_id (the smallest id that verified links reach)."""
+    """One row per row of docs: id, row_hash, component_id (the smallest id that verified links reach), group (a number of the group)."""
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", "text", F.xxhash64("text").alias("row_hash"))
     kind = source.schema["id"].dataType.simpleString()
-    signed = materialize(source.mapInArrow(lambda b: _signature_batches(b, size), f"id {kind}, row_hash long, node long, size long, bits array<long>, keys array<long>"), "signatures")
+    signed = materialize(source.mapInArrow(lambda b: _signature_batches(b, size), f"id {kind}, row_hash long, shingle_set binary, size long, bits array<long>, keys array<long>"), "signatures")
     first = lambda c: F.min_by(c, "row_hash").alias(c)
-    nodes = materialize(signed.groupBy("node").agg(F.min("id").alias("rep"), F.min("row_hash").alias("row_hash"), first("size"), first("bits"), first("keys")), "nodes")
+    grouped = signed.groupBy("shingle_set").agg(F.min("id").alias("rep"), F.min("row_hash").alias("row_hash"), first("size"), first("bits"), first("keys"))
+    nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the written numbers are the nodes
 
     placed = nodes.select("node", F.explode("keys").alias("key"))
     stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("n > 1").drop("n")
@@ -220,15 +224,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     member = components(links_1.unionByName(links_2))
     least_id = member.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = member.join(least_id, "component").select("node", "component_id")
-    whole = materialize(nodes.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "groups")
-    return signed.select("id", "row_hash", "node").join(whole, "node").select("id", "row_hash", "component_id")
+    linked = member.join(least_id, "component").select("node", "component", "component_id")
+    met = nodes.select("shingle_set", "node", "rep").join(linked, "node", "left")
+    whole = materialize(met.select("shingle_set", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "node").alias("group")), "groups")
+    return signed.select("id", "row_hash", "shingle_set").join(whole, "shingle_set").select("id", "row_hash", "component_id", "group")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
-    """docs with one document of each group of similar_groups, the one with the smallest id; all columns stay."""
-    keep = similar_groups(docs, id_col, text_col, size, least).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("row_hash").alias("__hash"))
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__hash")), "left_semi")
+    """docs with one document of each group of similar_groups, a row with the smallest id; all columns stay.
+
+    Several rows of a group may share that id: of them the row with the smallest text hash stays, then the one with the
+    smallest hash over all columns. Only rows that repeat id and text are shuffled for that.
+    """
+    own = similar_groups(docs, id_col, text_col, size, least).where(F.col("id").eqNullSafe(F.col("component_id")))
+    each = own.groupBy("group", "id", "row_hash").agg(F.count(F.lit(1)).alias("rows"))
+    keep = materialize(each.groupBy("group").agg(F.min_by(F.struct("id", F.col("row_hash").alias("least_hash"), "rows"), "row_hash").alias("k")).select("k.*"), "keep")
+    rows = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_of(text_col)).alias("row_hash"))
+    met = lambda k: rows.join(k, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("least_hash")))
+    several = met(keep.where("rows > 1")).groupBy("row_id", "row_hash").agg(F.min_by("row", row_order("row", docs.schema)).alias("row"))
+    return met(keep.where("rows = 1")).select("row.*").unionByName(several.select("row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
