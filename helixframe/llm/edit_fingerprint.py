@@ -1,35 +1,40 @@
 """Document fingerprints by a randomised embedding of edit distance into Hamming distance.
 
-All texts walk over their code points with one shared random function (Chakraborty, Goldenberg and Koucky
+All texts walk over their code points with shared random functions (Chakraborty, Goldenberg and Koucky
 2016): output position j repeats the current code point and moves on if the shared bit h_j(class of the
-code point) is set. Two texts that differ by few edits fall back into step soon after each edit, so their
-outputs differ in few positions. The fingerprint samples BITS output positions and keeps one bit of the
-code point at each. The position of a bit is the smallest of a shared random order among the text's own
-output positions (a record process), so texts of similar lengths sample the same positions, uniformly over
-their whole length, and no length bound is built in.
-
-Likeness of two fingerprints: 2 * (share of equal bits) - 1, at least 0; unrelated texts have 0 in the
-mean up to chance agreement of code points, equal texts 1.
-
-`near_ids` finds near copies: bands of sampled bits are the keys of buckets of distinct fingerprints, every
-link is verified over all bits, and components of the verified links are the groups. Each bucket first is a
+code point) is set. Two texts that differ by few edits fall back into step after each edit, so their
+outputs differ in few positions. How soon they do has a heavy tail, so a text takes WALKS walks with functions of their
+own. The fingerprint samples SAMPLES output positions of each walk and keeps DIGIT hashed bits of the code point at each.
+The position of a sample is the smallest of a shared random order among the text's own output positions (a record
+process), so texts of similar lengths sample the same positions, uniformly over their whole length, and no length bound
+is built in. Many texts walk in step as numpy lanes; a text too long for that walks by itself.
+
+Likeness of two fingerprints: the share of equal samples over all walks, freed of chance (1 of 16 samples agrees by
+chance), at least 0; equal texts have 1. Two texts are near copies if in some walk the likeness is NEAR or more: walks
+that fell out of step don't count against the others.
+
+`near_ids` finds near copies: bands of bits sampled from one walk are the keys of buckets of distinct fingerprints, every
+link is verified over all samples, and components of the verified links are the groups. Each bucket first is a
 star around one node; then buckets that still hold several components are asked for all pairs across them,
 so the groups are those of all pairs, and a large group never gives all its pairs. op5 runs it over all
-fingerprints. Copies are one node before the bands. A band of 40 bits meets by chance for a pair in some
-10^10, so candidates stay few at any size; a pair at likeness 0.9 shares one of 32 bands with probability 0.99.
+fingerprints. Copies are one node before the bands. A band of 48 bits meets by chance for a pair in some
+10^10, so candidates stay few at any size. Recall against brute force is measured in the tests and stated in the README.
 
-`edited_neighbours` needs each document's successor in descending id. Ids are cut into ranges at
+`edited_neighbours` needs each document's successor in descending id. Ids are cut into ranges of some RANGE_BYTES at
 quantiles; rows go to their range, and the first row of a range also to the range before it (the last
-range gets the first row of all). Texts move once; the driver holds one id per range.
+range gets the first row of all). Texts move once; the driver holds two ids per range. An id that fills several ranges is cut
+further by the hash of its texts, by which rows of one id are ordered.
 
 Defined cases: a null text counts as empty; an empty text samples nothing and has the fixed fingerprint of
-the padding; equal ids are ordered by their texts and a null id comes after all others; a single row is
-its own successor; an empty table gives no rows; other columns are not read.
+the padding; a very long text is walked in blocks; ids are integers or text that casts to one; equal ids are ordered by
+the hashes of their texts, then the texts, and a null id comes after all others; repeated rows are successors of each
+other; a single row is its own successor; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -39,33 +44,43 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import components, materialize, table, text_of
 
-BITS, SEED = 512, 11
-PERIOD, WALKS = 8192, 64
-BANDS, BAND_BITS, NEAR = 32, 40, 0.9
+SEED, WALKS, SAMPLES, DIGIT = 11, 4, 32, 4
+BITS = WALKS * SAMPLES * DIGIT
+PERIOD, CLASSES = 8192, 64
+LANES, FEW_LANES, CHUNK_CHARS = 1024, 64, 1 << 20  # lanes that walk in step; fewer than FEW_LANES walk one by one
+BANDS, BAND_DIGITS, NEAR = 8, 12, 0.8  # bands of each walk
+RANGE_BYTES, MOST_RANGES = 16 << 20, 100_000  # beyond MOST_RANGES ranges grow; they are sorted and read as streams
 NO_ID = -(1 << 63)
 
 
 @cache
-def _steps() -> list[int]:
-    """steps[class * PERIOD + j % PERIOD]: outputs that a code point of the class takes when it is reached at output j."""
+def _steps():
+    """steps[(walk, class, j % PERIOD)], flat: outputs that a code point of the class takes when it is reached at output j; the class after the last takes none."""
     import numpy as np
 
-    moves = np.random.default_rng(SEED).integers(0, 2, size=(WALKS, PERIOD)).astype(bool)
-    moves[:, -1] = True
-    twice = np.concatenate([moves, moves], axis=1)
+    moves = np.random.default_rng(SEED).integers(0, 2, size=(WALKS, CLASSES, PERIOD)).astype(bool)
+    moves[:, :, -1] = True
+    twice = np.concatenate([moves, moves], axis=2)
     at = np.arange(2 * PERIOD)
-    nearest = np.minimum.accumulate(np.where(twice, at, 2 * PERIOD)[:, ::-1], axis=1)[:, ::-1]
-    return (nearest - at + 1)[:, :PERIOD].ravel().tolist()
+    nearest = np.minimum.accumulate(np.where(twice, at, 2 * PERIOD)[:, :, ::-1], axis=2)[:, :, ::-1]
+    found = np.zeros((WALKS, CLASSES + 1, PERIOD), dtype=np.int64)
+    found[:, :CLASSES] = (nearest - at + 1)[:, :, :PERIOD]
+    return found.ravel()
+
+
+@cache
+def _step_list() -> list[int]:
+    return _steps().tolist()
 
 
 @cache
 def _records():
-    """(BITS, r) output positions: row k holds the successive minima of the k-th random order of all positions."""
+    """(WALKS * SAMPLES, r) output positions: row k holds the successive minima of the k-th random order of all positions."""
     import numpy as np
 
     rng = np.random.default_rng(SEED + 1)
     rows = []
-    for _ in range(BITS):
+    for _ in range(WALKS * SAMPLES):
         at, value, row = 0, rng.random(), []
         while at < 1 << 45:
             row.append(at)
@@ -82,67 +97,140 @@ def _codes(text: str):
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-def _walk(codes, start: int):
+def _rows_of(codes):
+    """Where the steps of each code point's class start."""
+    import numpy as np
+
+    return (codes.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(9)) % np.uint64(CLASSES) * np.uint64(PERIOD)
+
+
+def _walk_alone(codes, start: int, walk: int):
     """The output position at which each code point is reached, and the position after the last, as an array."""
     import numpy as np
 
-    steps, mask, at, parts = _steps(), PERIOD - 1, start, []
+    steps, mask, at, parts, base = _step_list(), PERIOD - 1, int(start), [], walk * (CLASSES + 1) * PERIOD
     for block in range(0, len(codes), 1 << 16):
-        part = codes[block : block + (1 << 16)].astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(9)
         reached = []
         add = reached.append
-        for row in (part % np.uint64(WALKS) * np.uint64(PERIOD)).tolist():
+        for row in (_rows_of(codes[block : block + (1 << 16)]) + np.uint64(base)).tolist():
             add(at)
             at += steps[row + (at & mask)]
         parts.append(np.array(reached, dtype=np.int64))
     return np.concatenate([*parts, np.array([at], dtype=np.int64)])
 
 
+def _walk_in_step(texts: list, starts):
+    """The same for all walks of several texts: (longest + 1, WALKS, texts); a text that has ended stays where it is."""
+    import numpy as np
+
+    steps, mask, longest = _steps(), PERIOD - 1, max(map(len, texts))
+    rows = np.full((longest, len(texts)), CLASSES * PERIOD, dtype=np.int64)
+    for k, codes in enumerate(texts):
+        rows[: len(codes), k] = _rows_of(codes)
+    base = (np.arange(WALKS) * (CLASSES + 1) * PERIOD)[:, None]
+    found = np.empty((longest + 1, WALKS, len(texts)), dtype=np.int64)
+    found[0] = starts
+    index, taken = np.empty_like(found[0]), np.empty_like(found[0])
+    for i in range(longest):
+        np.bitwise_and(found[i], mask, out=index)
+        index += rows[i]
+        index += base
+        np.take(steps, index, out=taken, mode="clip")
+        np.add(found[i], taken, out=found[i + 1])
+    return found
+
+
+def walks(texts: list, starts: list) -> list:
+    """Per text an array (WALKS, length + 1) of output positions; starts gives the first ones."""
+    import numpy as np
+
+    found: list = [None] * len(texts)
+    order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+    at = 0
+    while at < len(order):
+        first = len(texts[order[at]])
+        end = at + 1
+        while end < len(order) and end - at < LANES // WALKS and len(texts[order[end]]) <= 1.25 * first + 32 and (end - at + 1) * len(texts[order[end]]) <= CHUNK_CHARS:
+            end += 1
+        group = order[at:end]
+        if len(group) * WALKS < FEW_LANES:
+            for k in group:
+                found[k] = np.stack([_walk_alone(texts[k], starts[k][w], w) for w in range(WALKS)])
+        else:
+            together = _walk_in_step([texts[k] for k in group], np.array([starts[k] for k in group]).T)
+            for lane, k in enumerate(group):
+                found[k] = np.ascontiguousarray(together[: len(texts[k]) + 1, :, lane].T)
+        at = end
+    return found
+
+
 def _sample(codes, reached):
-    """The fingerprint's bits of a text from its walk."""
+    """The fingerprint's samples of a text from its walks, DIGIT bits each."""
     import numpy as np
 
+    n = WALKS * SAMPLES
     if not len(codes):
-        symbols = np.zeros(BITS, dtype=np.uint64)
+        symbols = np.zeros(n, dtype=np.uint64)
     else:
         records = _records()
-        length = reached[-1]
-        where = records[np.arange(BITS), (records < length).sum(axis=1) - 1]
-        symbols = codes[np.searchsorted(reached, where, side="right") - 1].astype(np.uint64) + np.uint64(1)
-    mixed = (symbols * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, BITS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        lengths = np.repeat(reached[:, -1], SAMPLES)
+        where = records[np.arange(n), (records < lengths[:, None]).sum(axis=1) - 1].reshape(WALKS, SAMPLES)
+        at = np.concatenate([np.searchsorted(reached[w], where[w], side="right") - 1 for w in range(WALKS)])
+        symbols = codes[at].astype(np.uint64) + np.uint64(1)
+    mixed = (symbols * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)
+    return ((mixed >> np.uint64(40)) % np.uint64(1 << DIGIT)).astype(np.uint8)
 
 
-def _hex(bits) -> str:
-    import numpy as np
-
-    return np.packbits(bits).tobytes().hex()
+def _hex(samples) -> str:
+    """One hex digit a sample."""
+    return (samples[::2] << 4 | samples[1::2]).tobytes().hex()
 
 
 def fingerprint(text: str | None) -> str:
     """BITS / 4 hex digits."""
     codes = _codes(text or "")
-    return _hex(_sample(codes, _walk(codes, 0)))
+    return _hex(_sample(codes, walks([codes], [[0] * WALKS])[0]))
+
+
+def _freed(share: float) -> float:
+    chance = 1 / (1 << DIGIT)
+    return max(0.0, (share - chance) / (1 - chance))
 
 
 def _likeness(a, b) -> float:
-    return max(0.0, 2.0 * float((a == b).mean()) - 1.0)
+    return _freed(float((a == b).mean()))
+
+
+def _parsed(fp: str):
+    import numpy as np
+
+    return np.array([int(c, 16) for c in fp], dtype=np.uint8)
 
 
 def likeness(a: str, b: str) -> float:
     """Likeness of two fingerprints in hex digits."""
-    import numpy as np
+    return _likeness(_parsed(a), _parsed(b))
+
 
-    x, y = (np.unpackbits(np.frombuffer(bytes.fromhex(s), dtype=np.uint8)) for s in (a, b))
-    return _likeness(x, y)
+def best_likeness(a: str, b: str) -> float:
+    """The largest likeness of two fingerprints in one walk, by which near copies are told."""
+    return max(_freed(float(x)) for x in (_parsed(a) == _parsed(b)).reshape(WALKS, SAMPLES).mean(axis=1))
 
 
 def _rows(batches: Iterator) -> Iterator:
-    """(bucket, tail, id, text) one by one."""
+    """Lists of (bucket, tail, id, text), some CHUNK_CHARS of text each."""
+    rows, size = [], 0
     for batch in batches:
-        buckets, tails, texts = (batch.column(i).to_pylist() for i in (0, 1, 3))
-        yield from zip(buckets, tails, batch.column(2).to_pylist(), texts, strict=True)
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        for row in zip(*columns, strict=True):
+            rows.append(row)
+            size += len(row[3])
+            if size >= CHUNK_CHARS:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
 
 
 def _neighbour_batches(batches: Iterator) -> Iterator:
@@ -150,41 +238,28 @@ def _neighbour_batches(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    out: list[list] = [[] for _ in range(7)]
-
-    def flush():
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        for x in out:
-            x.clear()
-        return batch
-
-    def look(row):
-        codes = _codes(row[3])
-        reached = _walk(codes, 0)
-        return row, codes, reached, _sample(codes, reached)
-
-    now = None
-    for row in _rows(batches):
-        if now is not None and now[0][0] == row[0] and not now[0][1]:
-            then = look(row)
-            _, codes, reached, bits = now
-            n, text = len(codes), now[0][3]
-            keep = n - n // 2
-            edited = text[:keep] + row[3][: n // 2]
-            tail = then[1][: n // 2]
-            walked = np.concatenate([reached[:keep], _walk(tail, int(reached[keep]))])
-            changed = _sample(np.concatenate([codes[:keep], tail]), walked)
-            values = (None if now[0][2] == NO_ID else now[0][2], n, hashlib.sha256(edited.encode()).hexdigest(), _hex(bits), _hex(changed), _likeness(bits, changed), _likeness(bits, then[3]))
-            for x, v in zip(out, values, strict=True):
-                x.append(v)
-            if len(out[0]) >= 2000:
-                yield flush()
-            now = then
-        elif now is None or now[0][0] != row[0]:
-            now = look(row)
-    if out[0]:
-        yield flush()
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    last: list = []
+    for rows in _rows(batches):
+        codes = [_codes(r[3]) for r in rows]
+        reached = walks(codes, [[0] * WALKS] * len(rows))
+        met = last + [(r, c, w, _sample(c, w)) for r, c, w in zip(rows, codes, reached, strict=True)]
+        pairs = [(a, b) for a, b in zip(met, met[1:], strict=False) if a[0][0] == b[0][0] and not a[0][1]]
+        last = met[-1:]
+        tails, starts, keeps = [], [], []
+        for (_, own, walked, _), (_, then, _, _) in pairs:
+            n = len(own)
+            keeps.append(n - n // 2)
+            tails.append(then[: n // 2])
+            starts.append(walked[:, keeps[-1]].tolist())
+        out: list[tuple] = []
+        for (row, own, walked, samples), then, keep, tail, further in zip((p[0] for p in pairs), (p[1] for p in pairs), keeps, tails, walks(tails, starts), strict=True):
+            edited = row[3][:keep] + then[0][3][: len(own) // 2]
+            changed = _sample(np.concatenate([own[:keep], tail]), np.concatenate([walked[:, :keep], further], axis=1))
+            out.append((None if row[2] == NO_ID else row[2], len(own), hashlib.sha256(edited.encode()).hexdigest(), _hex(samples), _hex(changed), _likeness(samples, changed), _likeness(samples, then[3])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -192,63 +267,81 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     import numpy as np
 
     spark = docs.sparkSession
-    ranges = ranges or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
+    if ranges is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = min(MOST_RANGES, max(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges + 1000).alias("cuts")).first()["cuts"]
-    bounds = np.unique(np.array(cuts if ranges > 1 and cuts else [], dtype=np.int64))
+    bounds, times = np.unique(np.array(cuts if ranges > 1 and cuts else [], dtype=np.int64), return_counts=True)
+    ends = np.append(0, np.cumsum(times))  # ranges below each bound; a bound that stands several times has several of its own
+    n = int(ends[-1]) + 1
 
     @F.pandas_udf("long")
-    def bucket(ids: pd.Series) -> pd.Series:  # larger ids first
-        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(), side="left"))
-
-    heads = sorted((r["bucket"], r["head"]) for r in rows.select("id").withColumn("bucket", bucket("id")).groupBy("bucket").agg(F.max("id").alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the range before; before the first comes the last
-
-    @F.pandas_udf("array<long>")
-    def targets(ids: pd.Series) -> pd.Series:
-        own = len(bounds) - np.searchsorted(bounds, ids.to_numpy(), side="left")
-        return pd.Series([[-1 - before[i], b] if i in before else [b] for i, b in zip(ids.tolist(), own.tolist(), strict=True)])
-
-    sent = rows.withColumn("to", F.explode(targets("id"))).withColumn("tail", F.col("to") < 0)
-    placed = sent.withColumn("bucket", F.when(F.col("tail"), -1 - F.col("to")).otherwise(F.col("to"))).select("bucket", "tail", "id", "text")
-    ordered = placed.repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("id"), "text")
+    def bucket(ids: pd.Series, hashes: pd.Series) -> pd.Series:  # larger ids first, of one id smaller hashes
+        ids, at = ids.to_numpy(), np.searchsorted(bounds, ids.to_numpy(), side="left")
+        own = np.append(bounds, 0)[at] == ids
+        most = np.where(own & (at < len(bounds)), np.append(times, 1)[at], 1)
+        place = (hashes.to_numpy() >> 32) + (1 << 31)
+        return pd.Series(n - 1 - ends[at] - (most - 1 - (place * most >> 32)))
+
+    dealt = rows.withColumn("bucket", bucket("id", "h"))
+    heads = dealt.groupBy("bucket").agg(F.max(F.struct("id", F.bitwise_not("h").alias("least_h"))).alias("head")).orderBy("bucket").collect()  # one narrow row a range; ~h falls as h grows
+    before = [(r["head"]["id"], ~r["head"]["least_h"], heads[k - 1]["bucket"]) for k, r in enumerate(heads)]  # the range before; before the first comes the last
+    known = spark.createDataFrame(before, "id long, h long, bucket long")
+    tails = rows.join(known, ["id", "h"]).dropDuplicates(["bucket"]).select("bucket", F.lit(True).alias("tail"), "id", "h", "text")
+    placed = dealt.select("bucket", F.lit(False).alias("tail"), "id", "h", "text").unionByName(tails)
+    ordered = placed.repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("id"), "h", "text").select("bucket", "tail", "id", "text")
     return ordered.mapInArrow(_neighbour_batches, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def bands(fp: str = "fingerprint"):
-    """Array of (band, key): keys are BAND_BITS bits sampled for each band, from the fingerprint's hex digits."""
+    """Array of (band, key): the digits of BAND_DIGITS samples of one walk, from the fingerprint's hex digits."""
     import numpy as np
 
     rng = np.random.default_rng(SEED + 2)
     keys = []
-    for band in range(BANDS):
-        digits = np.sort(rng.choice(BITS // 4, BAND_BITS // 4, replace=False))
+    for band in range(WALKS * BANDS):
+        digits = np.sort(rng.choice(SAMPLES, BAND_DIGITS, replace=False)) + band // BANDS * SAMPLES
         keys.append(F.struct(F.lit(band).alias("band"), F.concat(*[F.substring(fp, int(d) + 1, 1) for d in digits]).alias("key")))
     return F.array(*keys)
 
 
 def _words(fp: str):
-    """The fingerprint as signed longs."""
+    """The fingerprint as signed longs of 16 digits."""
     return F.array(*[F.conv(F.substring(fp, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(BITS // 64)])
 
 
+def _near(a: str, b: str, least: float):
+    """Whether some walk's samples agree as much as `least` asks."""
+    most = SAMPLES - math.ceil(SAMPLES * (least + (1 - least) / (1 << DIGIT)) - 1e-9)
+    longs = SAMPLES * DIGIT // 64
+
+    def differ(i: int):
+        x = F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])
+        half = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    out = F.lit(False)
+    for w in range(WALKS):
+        out = out | (sum((differ(w * longs + i) for i in range(longs)), F.lit(0)) <= most)
+    return out
+
+
 def near_ids(fingerprints: DataFrame, id_col: str = "id", least: float = NEAR) -> DataFrame:
-    """(fingerprint, near_id) of each distinct fingerprint: near_id is the smallest id of the group of verified links at likeness `least` or more."""
-    nodes = materialize(fingerprints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")).withColumn("node", F.xxhash64("fingerprint")), "edit-nodes")
+    """(fingerprint, near_id) of each distinct fingerprint: near_id is the smallest id of the group of verified links at likeness `least` or more in some walk."""
+    grouped = fingerprints.groupBy("fingerprint").agg(F.min(id_col).alias("rep"))
+    nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "edit-nodes")  # the written numbers are the nodes
     placed = nodes.select("node", F.explode(bands()).alias("b")).select("node", F.xxhash64("b.band", "b.key").alias("key"))
     stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("n > 1").drop("n")
     buckets = materialize(placed.join(stars, "key"), "edit-buckets")
     bits = nodes.select("node", _words("fingerprint").alias("bits"))
 
-    def near(a: str, b: str):
-        return sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS // 64)), F.lit(0)) <= int(BITS * (1 - least) / 2)
-
     spokes = buckets.where("node <> centre").select("node", "centre").distinct().join(bits, "node").alias("m")
-    links_1 = materialize(spokes.join(bits.alias("c"), (F.col("m.centre") == F.col("c.node")) & near("m", "c")).select(F.col("m.node").alias("a"), F.col("m.centre").alias("b")), "edit-links")
+    links_1 = materialize(spokes.join(bits.alias("c"), (F.col("m.centre") == F.col("c.node")) & _near("m", "c", least)).select(F.col("m.node").alias("a"), F.col("m.centre").alias("b")), "edit-links")
     named = materialize(buckets.join(components(links_1), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "edit-buckets")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
     open_ = materialize(named.join(mixed, "key").join(bits, "node"), "edit-buckets")
-    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & near("p", "q")
+    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & _near("p", "q", least)
     links_2 = materialize(open_.where("component <> main").alias("p").join(open_.alias("q"), across).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), "edit-links")
     member = components(links_1.unionByName(links_2))
     smallest = member.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("near_id"))
