@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import re
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from helixframe import on_workers
+from helixframe.tables import drop, drop_tables, materialize, materialize_at, shared_dir
+
+__all__ = ["drop_tables", "materialize", "shared_dir"]
 
 #: ASCII white space of the text contracts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,53 +27,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset a folder of this machine serves in local mode, in which driver and executors are one process; on
-    a cluster that would lose rows, so it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="helixframe-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        found = f"file://{found}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _tables(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/helixframe-{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a fresh table in the shared folder and reads it again.
-
-    This cuts the lineage: a lost executor costs at most the tasks after it, and what follows reads the
-    written rows however often it is run again. `drop_tables` removes what a session has written.
-    """
-    return _materialize(df, name)[0]
-
-
-def _materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Removes the tables that this session's operators have written; call it when their results are no longer read."""
-    _drop(spark, _tables(spark))
-
-
 def free_name(name: str, taken: list[str]) -> str:
     """The name, with underscores added until no taken column has it (case doesn't count)."""
     low = {c.lower() for c in taken}
@@ -141,12 +92,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now, path = _materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now, path = materialize_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = mark(now)
     for _ in range(rounds):
         before = path
-        now, path = _materialize(small(large(now).where("a <> b").distinct()).where("a <> b").distinct(), "edges")
-        _drop(edges.sparkSession, before)
+        now, path = materialize_at(small(large(now).where("a <> b").distinct()).where("a <> b").distinct(), "edges")
+        drop(edges.sparkSession, before)
         if (new := mark(now)) == seen:
             stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

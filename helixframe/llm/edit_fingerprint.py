@@ -17,7 +17,7 @@ that fell out of step don't count against the others.
 link is verified over all samples, and components of the verified links are the groups. Each bucket first is a
 star around one node; then buckets that still hold several components are asked for all pairs across them,
 so the groups are those of all pairs, and a large group never gives all its pairs. op5 runs it over all
-fingerprints. Copies are one node before the bands. A band of 48 bits meets by chance for a pair in some
+fingerprints. Copies are one node before the bands. A band of 44 bits meets by chance for a pair in some
 10^10, so candidates stay few at any size. Recall against brute force is measured in the tests and stated in the README.
 
 `edited_neighbours` needs each document's successor in descending id. Ids are cut into ranges of some RANGE_BYTES at
@@ -48,7 +48,7 @@ SEED, WALKS, SAMPLES, DIGIT = 11, 4, 32, 4
 BITS = WALKS * SAMPLES * DIGIT
 PERIOD, CLASSES = 8192, 64
 LANES, FEW_LANES, CHUNK_CHARS = 1024, 64, 1 << 20  # lanes that walk in step; fewer than FEW_LANES walk one by one
-BANDS, BAND_DIGITS, NEAR = 8, 12, 0.8  # bands of each walk
+BANDS, BAND_DIGITS, NEAR = 12, 11, 0.75  # bands of each walk
 RANGE_BYTES, MOST_RANGES = 16 << 20, 100_000  # beyond MOST_RANGES ranges grow; they are sorted and read as streams
 NO_ID = -(1 << 63)
 
