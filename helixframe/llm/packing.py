@@ -33,7 +33,7 @@ from helixframe.llm.common import chunks_for, materialize, number_within, table,
 
 WINDOW, GRAIN, DEPTH, END_ID = 4096, 16, 3, 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE_PARTS, CACHE_PRETOKENS, CACHE_LENGTH = 300_000, 600_000, 48
+CACHE_PARTS, CACHE_PRETOKENS, CACHE_LENGTH = 100_000, 150_000, 48
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
 
 
