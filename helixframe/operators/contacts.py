@@ -1,6 +1,7 @@
 """Non-covalent contacts: three catalogues of named rules over shared radius joins.
 
-A provider's atom rules share one grid join at their largest radius; its residual keeps a pair only if the
+The typed atoms are derived once and written; all rules read that table. A provider's atom rules share one grid join at
+their largest radius: only atoms whose bits some rule asks for enter it, and its residual keeps a pair only if the
 type bits of its atoms can satisfy some rule, so few pairs leave the join. Features that geometry needs
 (neighbour positions) are attached to these by equi-joins. Ring and group rules work likewise on centres.
 
@@ -22,6 +23,7 @@ from helixframe.functions.interactions import TypeSet, entity_id
 from helixframe.operators import radius
 from helixframe.operators import topology as topo
 from helixframe.operators.contact_set import altloc_compatible
+from helixframe.tables import materialize
 
 MODEL = topo.MODEL
 COLUMNS = [*MODEL, "lhs", "rhs", "type", "distance_sq"]
@@ -193,6 +195,12 @@ def _bits_fit(left: Column, right: Column, rules: tuple[AtomRule, ...]) -> Colum
     return out
 
 
+def _asked(bits: Column, rules: tuple[AtomRule, ...]) -> Column:
+    """Whether an atom can be a side of some rule."""
+    names = {n for r in rules for n in (*r.left, *r.right)}
+    return F.lit(True) if any(not r.left or not r.right for r in rules) else bits.bitwiseAND(F.lit(sum(topo.TYPES[n] for n in names))) != 0
+
+
 def _sides(typed: DataFrame, model: list[str]) -> DataFrame:
     f = typed.withColumns({"vdw": topo.lookup(topo.VDW, F.col("el"), 1.7), "polymer": topo.is_polymer(F.col("resname")), "water": F.col("resname").isin(*topo.WATER)})
     return f.select(*model, "atom_id", F.struct("atom_id", "resid", "resname", "chain", "el", "atom_type", "hyb", "vdw", "polymer", "water", "nbrs", "second", "x", "y", "z").alias("f"))
@@ -200,17 +208,22 @@ def _sides(typed: DataFrame, model: list[str]) -> DataFrame:
 
 def atom_contacts(typed: DataFrame, rules: tuple[AtomRule, ...], model: list[str] = MODEL) -> DataFrame:
     reach = max(r.reach for r in rules)
-    part = typed.select(*model, "atom_id", "x", "y", "z", "atom_type", "altloc")
+    part = typed.where(_asked(F.col("atom_type"), rules)).select(*model, "atom_id", "x", "y", "z", "atom_type", "altloc")
     residual = altloc_compatible(F.col("a.altloc"), F.col("b.altloc")) & _bits_fit(F.col("a.atom_type"), F.col("b.atom_type"), rules)
     pairs = radius.self_join(part, reach, model, residual=residual)
     sides = _sides(typed, model)
-    met = pairs.join(sides.withColumnsRenamed({"atom_id": "i", "f": "a"}), [*model, "i"]).join(sides.withColumnsRenamed({"atom_id": "j", "f": "b"}), [*model, "j"])
-    a, b, d2 = F.col("a"), F.col("b"), F.col("distance_sq")
-    found = []
-    for r in rules:
-        fit = lambda x, y, r=r: (is_type(x, *r.left) if r.left else F.lit(True)) & (is_type(y, *r.right) if r.right else F.lit(True)) & (d2 <= r.reach * r.reach) & r.test(x, y, d2)
-        found.append(F.when(fit(a, b) if r.symmetric else fit(a, b) | fit(b, a), F.lit(r.type)))
-    named = met.withColumn("type", F.explode(F.filter(F.array(*found), lambda t: t.isNotNull())))
+    met = topo.attach(pairs, sides.withColumnsRenamed({"atom_id": "i", "f": "a"}), [*model, "i"], "inner")
+    met = topo.attach(met, sides.withColumnsRenamed({"atom_id": "j", "f": "b"}), [*model, "j"], "inner")
+
+    def types(e: Column) -> Column:
+        a, b, d2, found = e["a"], e["b"], e["d2"], []
+        for r in rules:
+            fit = lambda x, y, r=r: (is_type(x, *r.left) if r.left else F.lit(True)) & (is_type(y, *r.right) if r.right else F.lit(True)) & (d2 <= r.reach * r.reach) & r.test(x, y, d2)
+            found.append(F.when(fit(a, b) if r.symmetric else fit(a, b) | fit(b, a), F.lit(r.type)))
+        return F.filter(F.array(*found), lambda t: t.isNotNull())
+
+    # within `let` the rules are evaluated as one expression: as generated code they would be too large to compile
+    named = met.withColumn("type", F.explode(let(F.struct("a", "b", F.col("distance_sq").alias("d2")), types)))
     return named.select(*model, entity_id("atom", F.col("i")).alias("lhs"), entity_id("atom", F.col("j")).alias("rhs"), "type", "distance_sq")
 
 
@@ -267,15 +280,15 @@ def ionic_groups(groups: DataFrame, model: list[str] = MODEL) -> DataFrame:
 def contacts(atoms: DataFrame, provider: str = "molstar", only: TypeSet | None = None, model: list[str] = MODEL) -> DataFrame:
     """(model, lhs, rhs, type, distance_sq) of a provider's rules, or of those whose tag is in `only`.
 
-    Rules that aren't asked for are not planned at all.
+    Rules that aren't asked for are not planned at all. The atoms and the typed atoms are written to the shared folder.
     """
     if provider not in PROVIDERS:
         raise ValueError(f"one of {', '.join(PROVIDERS)}")
     wanted = lambda name: only is None or name in only
     chosen = PROVIDERS[provider]
     rules = tuple(r for r in chosen.atoms if wanted(r.type))
-    feature = topo.features(atoms, topo.bonds(atoms, model), model)
-    typed = chosen.types(feature)
+    atoms = materialize(atoms, "atoms")
+    feature = typed = materialize(chosen.types(topo.features(atoms, topo.bonds(atoms, model, ends=True), model)), "typed-atoms")
     out = [atom_contacts(typed, rules, model)] if rules else []
     extra = [t for t in OTHER[provider] if wanted(t)]
     rings = topo.rings(atoms, model) if set(extra) - {"Ionic"} else None

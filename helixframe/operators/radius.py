@@ -2,7 +2,11 @@
 
 Space is cut into cubes at least as wide as the radius; a point meets the 27 cubes around its own. One side
 carries the offsets, so the join is an equi-join on (model, cube) that Spark can hash, sort, broadcast,
-spill or split, and a large model spreads over its cubes. The distance test is the join's residual.
+spill or split, and a large model spreads over its cubes. The distance test is the join's residual. A self join needs
+only the cube itself and the 13 after it: of two cubes one comes before the other.
+
+A cube's number is its three coordinates side by side, 21 bits each. Cubes 2^21 apart share a number, which the distance
+test undoes.
 """
 
 from __future__ import annotations
@@ -12,19 +16,19 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.geometry import distance_sq, vec
 
-
-def _cell(axis: str, width: float) -> Column:
-    return F.floor(F.col(axis) / F.lit(width)).cast("long")
+ALL = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+HALF = [o for o in ALL if o >= (0, 0, 0)]
+_BITS = 21
+BRUTE_POINTS = 50_000
 
 
-def _cells(df: DataFrame, width: float) -> DataFrame:
-    return df.withColumns({f"__c{a}": _cell(a, width) for a in "xyz"})
+def _packed(cells: list[Column]) -> Column:
+    part = lambda c, k: F.shiftleft(c.bitwiseAND(F.lit((1 << _BITS) - 1)), k * _BITS)
+    return part(cells[0], 2).bitwiseOR(part(cells[1], 1)).bitwiseOR(part(cells[2], 0))
 
 
-def _around(df: DataFrame, width: float) -> DataFrame:
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    spread = _cells(df, width).withColumn("__o", F.explode(steps))
-    return spread.withColumns({f"__c{a}": F.col(f"__c{a}") + F.col(f"__o.{o}") for a, o in zip("xyz", "abc", strict=True)}).drop("__o")
+def _cells(width: float) -> list[Column]:
+    return [F.floor(F.col(a) / F.lit(width)).cast("long") for a in "xyz"]
 
 
 def _check(radius: float) -> float:
@@ -33,40 +37,62 @@ def _check(radius: float) -> float:
     return float(radius)
 
 
-def _joined(left: DataFrame, right: DataFrame, radius: float, model: list[str], residual: Column | None) -> DataFrame:
+def keyed_by(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with __key, one number for the columns: joins shuffle and sort by it alone."""
+    return df.withColumn("__key", F.xxhash64(*columns))
+
+
+def same_key(columns: list[str], residual: Column | None = None, left: str = "a", right: str = "b") -> Column:
+    """The join condition of two sides from `keyed_by`: equal numbers, then equal columns.
+
+    The columns are compared within a CASE, so that Spark doesn't make them join keys of their own.
+    """
+    equal = F.lit(True) if residual is None else residual
+    for name in columns:
+        equal = (F.col(f"{left}.{name}") == F.col(f"{right}.{name}")) & equal
+    return (F.col(f"{left}.__key") == F.col(f"{right}.__key")) & F.when(equal, F.lit(True)).otherwise(F.lit(False))
+
+
+def _joined(left: DataFrame, right: DataFrame, radius: float, model: list[str], residual: Column | None, offsets: list[tuple]) -> DataFrame:
     r = _check(radius)
-    a, b = _around(left, r).alias("a"), _cells(right, r).alias("b")
+    moved = F.array(*[F.struct(F.lit(o != (0, 0, 0)).alias("moved"), _packed([c + F.lit(k) for c, k in zip(_cells(r), o, strict=True)]).alias("cube")) for o in offsets])
+    around = left.withColumn("__o", F.explode(moved))
+    keyed = lambda df: keyed_by(df, [*model, "__cube"])
+    a = keyed(around.withColumns({"__cube": F.col("__o.cube"), "__moved": F.col("__o.moved")}).drop("__o")).alias("a")
+    b = keyed(right.withColumn("__cube", _packed(_cells(r)))).alias("b")
     d2 = distance_sq(vec("a.x", "a.y", "a.z"), vec("b.x", "b.y", "b.z"))
-    on = d2 <= r * r
-    for name in [*model, "__cx", "__cy", "__cz"]:
-        on = (F.col(f"a.{name}") == F.col(f"b.{name}")) & on
-    if residual is not None:
-        on = on & residual
-    return a.join(b, on).withColumn("distance_sq", d2)
+    near = d2 <= r * r
+    return a.join(b, same_key([*model, "__cube"], near if residual is None else near & residual)).withColumn("distance_sq", d2)
 
 
 def self_join(points: DataFrame, radius: float, model: list[str] | None = None, key: str = "atom_id", residual: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Unordered pairs within the radius (inclusive), once each: model, i < j, distance_sq.
 
-    residual may refer to a.* (i) and b.* (j); keep names further columns, returned as <name>_i, <name>_j.
+    residual may refer to the two points as a.* and b.* and must not depend on which is which; keep names further
+    columns, returned as <name>_i, <name>_j.
     """
     model, keep = model or [], keep or []
-    order = F.col(f"a.{key}") < F.col(f"b.{key}")
-    found = _joined(points, points, radius, model, order if residual is None else order & residual)
-    more = [F.col(f"{s}.{c}").alias(f"{c}_{o}") for c in keep for s, o in (("a", "i"), ("b", "j"))]
-    return found.select(*[F.col(f"a.{m}") for m in model], F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j"), "distance_sq", *more)
+    first = F.col(f"a.{key}") < F.col(f"b.{key}")
+    order = first | F.col("a.__moved")
+    found = _joined(points, points, radius, model, order if residual is None else order & residual, HALF)
+    pick = lambda c, a, b: F.when(first, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}"))
+    more = [pick(c, *sides).alias(f"{c}_{o}") for c in keep for sides, o in ((("a", "b"), "i"), (("b", "a"), "j"))]
+    return found.select(*[F.col(f"a.{m}") for m in model], pick(key, "a", "b").alias("i"), pick(key, "b", "a").alias("j"), "distance_sq", *more)
 
 
 def cross_join(query: DataFrame, target: DataFrame, radius: float, model: list[str] | None = None, key: str = "atom_id", residual: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """All (query, target) pairs within the radius, coincident points included."""
     model, keep = model or [], keep or []
-    found = _joined(query, target, radius, model, residual)
+    found = _joined(query, target, radius, model, residual, ALL)
     more = [F.col(f"{s}.{c}").alias(f"{c}_{o}") for c in keep for s, o in (("a", "i"), ("b", "j"))]
     return found.select(*[F.col(f"a.{m}") for m in model], F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j"), "distance_sq", *more)
 
 
 def brute_force(points: DataFrame, radius: float, key: str = "atom_id") -> DataFrame:
-    """The nested-loop form of self_join, for small inputs and as its check."""
+    """The nested-loop form of self_join, for small inputs and as its check; more than BRUTE_POINTS points are refused."""
+    n = points.limit(BRUTE_POINTS + 1).count()
+    if n > BRUTE_POINTS:
+        raise ValueError(f"more than {BRUTE_POINTS} points: use self_join")
     a, b = points.alias("a"), points.alias("b")
     d2 = distance_sq(vec("a.x", "a.y", "a.z"), vec("b.x", "b.y", "b.z"))
     return a.join(b, (F.col(f"a.{key}") < F.col(f"b.{key}")) & (d2 <= radius * radius)).select(F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j"), d2.alias("distance_sq"))

@@ -93,22 +93,35 @@ def factorize(rows: DataFrame, keys: list[str], order: str, model: list[str] | N
     return rows.join(firsts.withColumn(name, F.row_number().over(window) - 1).drop("__first"), [*model, *keys])
 
 
-def bonds(atoms: DataFrame, model: list[str] = MODEL) -> DataFrame:
-    """(model, a, b): pairs closer than their covalent radii and a slack; no metals, no two hydrogens, compatible alternates."""
-    part = atoms.select(*model, "atom_id", "x", "y", "z", "altloc", lookup(COVALENT, upper_element()).alias("cov"), upper_element().isin("H", "D").alias("h")).where("cov is not null")
+def bonds(atoms: DataFrame, model: list[str] = MODEL, ends: bool = False) -> DataFrame:
+    """(model, a, b): pairs closer than their covalent radii and a slack; no metals, no two hydrogens, compatible alternates.
+
+    With ends also end_a and end_b: atom_id, element, x, y, z of either atom.
+    """
+    part = atoms.select(*model, "atom_id", "x", "y", "z", "altloc", *([upper_element().alias("element")] if ends else []), lookup(COVALENT, upper_element()).alias("cov"), upper_element().isin("H", "D").alias("h")).where("cov is not null")
     reach = F.col("a.cov") + F.col("b.cov") + BOND_SLACK
     d2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"), F.lit(0.0))
     test = ~(F.col("a.h") & F.col("b.h")) & altloc_compatible(F.col("a.altloc"), F.col("b.altloc")) & (d2 <= reach * reach)
-    return radius.self_join(part, BOND_REACH, model, residual=test).select(*model, F.col("i").alias("a"), F.col("j").alias("b"))
+    found = radius.self_join(part, BOND_REACH, model, residual=test, keep=["element", *"xyz"] if ends else [])
+    end = lambda key, o, name: F.struct(F.col(key).alias("atom_id"), F.col(f"element_{o}").alias("element"), *[F.col(f"{c}_{o}").alias(c) for c in "xyz"]).alias(name)
+    return found.select(*model, F.col("i").alias("a"), F.col("j").alias("b"), *([end("i", "i", "end_a"), end("j", "j", "end_b")] if ends else []))
 
 
 def neighbours(atoms: DataFrame, bond: DataFrame, model: list[str] = MODEL) -> DataFrame:
-    """(model, atom_id, nbrs): nbrs holds atom_id, element, x, y, z of each bonded atom, in order."""
-    sides = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    """(model, atom_id, nbrs): nbrs holds atom_id, element, x, y, z of each bonded atom, in order. Bonds that carry their ends need no join."""
+    if "end_a" not in bond.columns:
+        end = atoms.select(*model, F.col("atom_id").alias("id"), F.struct("atom_id", upper_element().alias("element"), "x", "y", "z").alias("end"))
+        for side in ("a", "b"):
+            bond = bond.join(end.withColumnsRenamed({"id": side, "end": f"end_{side}"}), [*model, side])
+    sides = F.array(F.struct(F.col("a").alias("u"), F.col("end_b").alias("v")), F.struct(F.col("b").alias("u"), F.col("end_a").alias("v")))
     both = bond.select(*model, F.explode(sides).alias("e")).select(*model, "e.u", "e.v")
-    other = atoms.select(*model, F.col("atom_id").alias("v"), upper_element().alias("element"), "x", "y", "z")
-    met = both.join(other, [*model, "v"])
-    return met.groupBy(*model, F.col("u").alias("atom_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("v").alias("atom_id"), "element", "x", "y", "z"))).alias("nbrs"))
+    return both.groupBy(*model, F.col("u").alias("atom_id")).agg(F.array_sort(F.collect_list("v")).alias("nbrs"))
+
+
+def attach(rows: DataFrame, more: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """rows with the further columns of more, which has one row per key; an equi-join by one number."""
+    a, b = radius.keyed_by(rows, on).alias("a"), radius.keyed_by(more, on).alias("b")
+    return a.join(b, radius.same_key(on), how).select(*[F.col(f"a.{c}") for c in rows.columns], *[F.col(f"b.{c}") for c in more.columns if c not in on])
 
 
 def _named(table: dict) -> Column:
@@ -125,9 +138,9 @@ def features(atoms: DataFrame, bond: DataFrame, model: list[str] = MODEL) -> Dat
     near = neighbours(atoms, bond, model)
     heavy = lambda n: ~n["element"].isin("H", "D")
     ends = near.where(F.size(F.filter("nbrs", heavy)) == 1).select(*model, "atom_id", F.filter("nbrs", heavy)[0]["atom_id"].alias("__of"))
-    beyond = ends.join(near.withColumnsRenamed({"atom_id": "__of", "nbrs": "__nbrs"}), [*model, "__of"])
+    beyond = attach(ends, near.withColumnsRenamed({"atom_id": "__of", "nbrs": "__nbrs"}), [*model, "__of"], "inner")
     second = beyond.select(*model, "atom_id", F.filter("__nbrs", lambda n: heavy(n) & (n["atom_id"] != F.col("atom_id"))).alias("__s")).select(*model, "atom_id", F.when(F.size("__s") > 0, F.col("__s")[0]).alias("second"))
-    found = atoms.join(near, [*model, "atom_id"], "left").join(second, [*model, "atom_id"], "left")
+    found = attach(attach(atoms, near, [*model, "atom_id"]), second, [*model, "atom_id"])
     count = lambda test: F.when(F.col("nbrs").isNull(), 0).otherwise(F.size(F.filter("nbrs", test)))
     counted = found.withColumns({
         "el": upper_element(), "rclass": residue_class(F.col("resname")),
@@ -147,9 +160,10 @@ def features(atoms: DataFrame, bond: DataFrame, model: list[str] = MODEL) -> Dat
         .when(F.col("el").isin("C", "N") & (F.col("n_heavy") <= 3) & short, 2).when((F.col("el") == "O") & double, 2).otherwise(3)
     )
     sited = counted.withColumn("hyb", hyb)
-    polymer_h = F.max(F.when(F.col("rclass").isin("protein", "base"), F.col("el").isin("H", "D"))).over(Window.partitionBy(*model, "chain"))
-    residue_h = F.max(F.col("el").isin("H", "D")).over(Window.partitionBy(*model, *RESIDUE))
-    explicit = F.coalesce(F.when(F.col("rclass").isin("protein", "base"), polymer_h).otherwise(residue_h), F.lit(False))
+    scope = F.concat_ws("|", "chain", F.when(F.col("rclass").isin("protein", "base"), "polymer").otherwise(F.concat_ws("|", F.lit("residue"), "resid", "resname")))
+    hydrogens = atoms.where(upper_element().isin("H", "D")).withColumn("rclass", residue_class(F.col("resname"))).select(*model, scope.alias("h_scope")).distinct().withColumn("explicit", F.lit(True))
+    sited = sited.withColumn("h_scope", scope).join(hydrogens, [*model, "h_scope"], "left").drop("h_scope")  # where no structure has hydrogens this table is empty
+    explicit = F.coalesce("explicit", F.lit(False))
     table = {f"{r}:{n}": h for (r, n), h in HYDROGENS.items()}
     side = lookup(table, F.concat_ws(":", "resname", "name"))
     bonded = F.col("n_heavy")
@@ -166,7 +180,7 @@ def features(atoms: DataFrame, bond: DataFrame, model: list[str] = MODEL) -> Dat
         .when((F.col("el") == "N") & (F.col("hyb") == 2) & (bonded == 2), 0)
         .otherwise(generic)
     )
-    return sited.withColumn("implicit_h", F.when(explicit, 0).otherwise(model_h).cast("int"))
+    return sited.withColumn("implicit_h", F.when(explicit, 0).otherwise(model_h).cast("int")).drop("explicit")
 
 
 def _bits(tests: dict[str, Column]) -> Column:
