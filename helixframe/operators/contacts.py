@@ -128,7 +128,7 @@ class AtomRule:
 
 
 def _metal(m: Column, p: Column, _d2: Column) -> Column:
-    fits = (is_type(m, "TransitionMetal") & is_type(p, "DativeBondPartner")) | (is_type(m, "IonicTypeMetal") & is_type(p, "IonicTypePartner"))
+    fits = F.when(is_type(m, "TransitionMetal"), is_type(p, "DativeBondPartner")).otherwise(is_type(m, "IonicTypeMetal") & is_type(p, "IonicTypePartner"))
     return fits & ~bonded(m, p) & ~same_residue(m, p)  # a metal within its own residue is bonded, not in contact
 
 
@@ -268,15 +268,45 @@ def _points(rows: DataFrame, key: str, model: list[str]) -> DataFrame:
 
 
 def ionic_groups(groups: DataFrame, model: list[str] = MODEL) -> DataFrame:
-    """Positive and negative groups with centroids within 5 and some members nearer than 5."""
-    part = lambda kind: groups.where(F.col("kind") == kind).select(*model, F.col("group_id").alias("id"), "x", "y", "z", F.struct("chain", "resid", "resname", "points").alias("f"))
+    """Positive and negative groups with centroids within 5 and some members nearer than 5, whose first atoms aren't bonded."""
+    part = lambda kind: groups.where(F.col("kind") == kind).select(*model, F.col("group_id").alias("id"), "x", "y", "z", F.struct("chain", "resid", "resname", "points", "atom_ids", "first_bonds").alias("f"))
     pairs = radius.cross_join(part("positive"), part("negative"), 5.0, model, key="id", keep=["f"])
     near = F.exists(F.col("f_i.points"), lambda p: F.exists(F.col("f_j.points"), lambda q: distance_sq(p, q) < 25.0))
-    kept = pairs.where(near & ~same_residue(F.col("f_i"), F.col("f_j")))
+    bound = F.coalesce(F.array_contains(F.col("f_i.first_bonds"), F.col("f_j.atom_ids")[0]), F.lit(False))
+    kept = pairs.where(near & ~bound & ~same_residue(F.col("f_i"), F.col("f_j")))
     left, right = entity_id("group", F.col("i")), entity_id("group", F.col("j"))
     return kept.select(*model, F.least(left, right).alias("lhs"), F.greatest(left, right).alias("rhs"), F.lit("Ionic").alias("type"), "distance_sq")
 
 
+def molstar_pi_stacking(rings: DataFrame, model: list[str] = MODEL) -> DataFrame:
+    return ring_contacts(rings, 5.5, _molstar_stack, model)
+
+
+def molstar_cation_pi(groups: DataFrame, rings: DataFrame, model: list[str] = MODEL) -> DataFrame:
+    """Positive groups near a ring's axis."""
+    offset = lambda p, r, d2: F.when(~same_residue(p, r) & (d2 <= 36.0) & (plane_offset(p, r["center"], r["normal"]) <= 2.0), "CationPi")
+    return mixed_contacts(_points(groups.where("kind = 'positive'"), "group_id", model), "group", rings, 6.0, offset, model)
+
+
+def arpeggio_ring_contacts(typed: DataFrame, rings: DataFrame, name: str, model: list[str] = MODEL) -> DataFrame:
+    """DonorPi, CarbonPi, CationPi or SulphurPi: atoms over a ring."""
+    bit = lambda n: topo.has(F.col("atom_type"), n)
+    sides = {"DonorPi": bit("HbondDonor") & ~bit("Aromatic"), "CarbonPi": (F.col("el") == "C") & bit("WeakHbondDonor") & ~bit("Aromatic"), "CationPi": bit("PositiveCharge") & ~bit("Aromatic"), "SulphurPi": (F.col("el") == "S") & (F.col("resname") == "MET")}
+    points = _points(typed.where(sides[name]), "atom_id", model)
+    if name == "SulphurPi":
+        return mixed_contacts(points, "atom", rings, 6.0, lambda p, r, d2: F.when(d2 <= 36.0, name), model)
+    return mixed_contacts(points, "atom", rings, 4.5, lambda p, r, d2: F.when((d2 <= 20.25) & (_plane_angle(p, r) <= 30.0), name), model)
+
+
+def getcontacts_cation_pi(typed: DataFrame, rings: DataFrame, model: list[str] = MODEL) -> DataFrame:
+    cone = lambda p, r, d2: F.when(~same_residue(p, r) & (d2 <= 36.0) & (_plane_angle(p, r) <= 60.0), "CationPi")
+    return mixed_contacts(_points(typed.where(topo.has(F.col("atom_type"), "PositiveCharge")), "atom_id", model), "atom", rings, 6.0, cone, model)
+
+
+def getcontacts_pi_stacking(rings: DataFrame, model: list[str] = MODEL) -> DataFrame:
+    return ring_contacts(rings, 7.0, _gc_stack, model)
+
+
 def contacts(atoms: DataFrame, provider: str = "molstar", only: TypeSet | None = None, model: list[str] = MODEL) -> DataFrame:
     """(model, lhs, rhs, type, distance_sq) of a provider's rules, or of those whose tag is in `only`.
 
@@ -297,25 +327,16 @@ def contacts(atoms: DataFrame, provider: str = "molstar", only: TypeSet | None =
         if "Ionic" in extra:
             out.append(ionic_groups(groups, model))
         if "PiStacking" in extra:
-            out.append(ring_contacts(rings, 5.5, _molstar_stack, model))
+            out.append(molstar_pi_stacking(rings, model))
         if "CationPi" in extra:
-            offset = lambda p, r, d2: F.when(~same_residue(p, r) & (d2 <= 36.0) & (plane_offset(p, r["center"], r["normal"]) <= 2.0), "CationPi")
-            out.append(mixed_contacts(_points(groups.where("kind = 'positive'"), "group_id", model), "group", rings, 6.0, offset, model))
+            out.append(molstar_cation_pi(groups, rings, model))
     elif provider == "arpeggio":
-        tilt = lambda name, reach: lambda p, r, d2: F.when((d2 <= reach * reach) & (_plane_angle(p, r) <= 30.0), name)
-        bit = lambda n: topo.has(F.col("atom_type"), n)
-        sides = {"DonorPi": bit("HbondDonor") & ~bit("Aromatic"), "CarbonPi": (F.col("el") == "C") & bit("WeakHbondDonor") & ~bit("Aromatic"), "CationPi": bit("PositiveCharge") & ~bit("Aromatic")}
-        for name, test in sides.items():
-            if name in extra:
-                out.append(mixed_contacts(_points(typed.where(test), "atom_id", model), "atom", rings, 4.5, tilt(name, 4.5), model))
-        if "SulphurPi" in extra:
-            out.append(mixed_contacts(_points(typed.where((F.col("el") == "S") & (F.col("resname") == "MET")), "atom_id", model), "atom", rings, 6.0, lambda p, r, d2: F.when(d2 <= 36.0, "SulphurPi"), model))
+        out += [arpeggio_ring_contacts(typed, rings, name, model) for name in extra]
     else:
         if "CationPi" in extra:
-            cone = lambda p, r, d2: F.when(~same_residue(p, r) & (d2 <= 36.0) & (_plane_angle(p, r) <= 60.0), "CationPi")
-            out.append(mixed_contacts(_points(typed.where(topo.has(F.col("atom_type"), "PositiveCharge")), "atom_id", model), "atom", rings, 6.0, cone, model))
+            out.append(getcontacts_cation_pi(typed, rings, model))
         if set(extra) & {"PiStackingP", "PiStackingT"}:
-            out.append(ring_contacts(rings, 7.0, _gc_stack, model).where(F.col("type").isin(*extra)))
+            out.append(getcontacts_pi_stacking(rings, model).where(F.col("type").isin(*extra)))
     if not out:
         return atom_contacts(typed, chosen.atoms[:1], model).limit(0)
     total = out[0]

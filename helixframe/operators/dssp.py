@@ -1,14 +1,21 @@
-"""Secondary structure from backbone hydrogen bonds (Kabsch and Sander 1983), a kernel per model.
+"""Secondary structure from backbone hydrogen bonds (Kabsch and Sander 1983).
 
 States: H alpha helix, G 3-10 helix, I pi helix, P polyproline helix, E strand, B bridge, T turn, S bend and
-C for the rest. The assignment is sequential within a model and models are bounded, so each model is one
-numpy kernel; models spread over the cluster.
+C for the rest. The backbone of a residue is one row, from one aggregation. Hydrogen bonds are found for many models of
+the sorted stream together; the assignment itself is sequential within a model.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from helixframe.operators.kernels import Grid, whole_groups
+
+TOGETHER = 4096  # donors whose bonds are sought together
 
 # Fixed values of the method.
 COUPLING, BOND, LOWEST, CLOSE = 27.888, -0.5, -9.9, 0.5
@@ -31,45 +38,44 @@ def breaks(c: np.ndarray, n: np.ndarray, chain: np.ndarray, seq: np.ndarray) ->
     return out
 
 
-def hydrogen_bonds(n, ca, c, o, cut: np.ndarray, proline: np.ndarray) -> list[list[tuple[int, float]]]:
-    """For each residue as donor, its two best acceptors (index, energy)."""
+def hydrogen_bonds(n, ca, c, o, cut: np.ndarray, proline: np.ndarray, model: np.ndarray | None = None) -> list[list[tuple[int, float]]]:
+    """For each residue as donor, its two best acceptors (index, energy); residues of different models don't meet."""
     size = len(n)
     h = n.copy()
     linked = np.flatnonzero(~cut)
     away = c[linked - 1] - o[linked - 1]
     h[linked] = n[linked] + away / np.linalg.norm(away, axis=1, keepdims=True)
     best: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-    cells: dict[tuple, list[int]] = {}
-    grid = np.floor(ca / CA_REACH).astype(np.int64)
-    for i, g in enumerate(map(tuple, grid)):
-        cells.setdefault(g, []).append(i)
-    for i in range(size):
-        if proline[i]:
-            continue
-        g = grid[i]
-        near = np.array([j for a in (-1, 0, 1) for b in (-1, 0, 1) for e in (-1, 0, 1) for j in cells.get((g[0] + a, g[1] + b, g[2] + e), ())])
-        near = near[(near != i) & ((near != i - 1) | cut[i])]
-        near = near[np.linalg.norm(ca[near] - ca[i], axis=1) <= CA_REACH] if len(near) else near
-        if not len(near):
-            continue
-        ho, hc, nc, no = (np.linalg.norm(x - y, axis=1) for x, y in ((o[near], h[i]), (c[near], h[i]), (c[near], n[i]), (o[near], n[i])))
+    grid = Grid(ca, np.zeros(size, dtype=np.int64) if model is None else model, CA_REACH)
+    donors = np.flatnonzero(~proline)
+    for start in range(0, len(donors), TOGETHER):
+        who = donors[start : start + TOGETHER]
+        at, acceptor, _ = grid.pairs(who)
+        donor = who[at]
+        keep = (acceptor != donor - 1) | cut[donor]
+        donor, acceptor = donor[keep], acceptor[keep]
+        ho, hc, nc, no = (np.linalg.norm(x[acceptor] - y[donor], axis=1) for x, y in ((o, h), (c, h), (c, n), (o, n)))
         close = np.minimum.reduce([ho, hc, nc, no]) < CLOSE
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             e = COUPLING * (-1 / ho + 1 / hc - 1 / nc + 1 / no)
-        e = np.maximum(np.where(close, LOWEST, np.round(e, 3)), LOWEST)
-        order = sorted(range(len(near)), key=lambda k: (e[k], near[k]))[:2]
-        best[i] = [(int(near[k]), float(e[k])) for k in order]
+        e = np.where(close, LOWEST, np.maximum(np.round(e, 3), LOWEST))
+        order = np.lexsort((acceptor, e, donor))
+        donor, acceptor, e = donor[order], acceptor[order], e[order]
+        first = np.searchsorted(donor, donor, side="left")
+        two = np.flatnonzero(np.arange(len(donor)) - first < 2)
+        for i, a, energy in zip(donor[two].tolist(), acceptor[two].tolist(), e[two].tolist(), strict=True):
+            best[i].append((a, energy))
     return best
 
 
-def assign(n, ca, c, o, chain, seq, proline, prefer_pi: bool = True) -> str:
-    """The state letters of residues in order; all arrays are per complete residue."""
+def assign(n, ca, c, o, chain, seq, proline, prefer_pi: bool = True, best: list | None = None) -> str:
+    """The state letters of residues in order; all arrays are per complete residue. best are the hydrogen bonds, where they are known."""
     size = len(n)
     if not size:
         return ""
     cut = breaks(c, n, chain, seq)
-    segment = np.cumsum(cut)
-    best = hydrogen_bonds(n, ca, c, o, cut, proline)
+    segment = np.cumsum(cut).tolist()
+    best = hydrogen_bonds(n, ca, c, o, cut, proline) if best is None else best
     bonded = [{a for a, e in b if e < BOND} for b in best]  # N-H of i to C=O of a
 
     def bond(donor: int, acceptor: int) -> bool:
@@ -98,14 +104,15 @@ def assign(n, ca, c, o, chain, seq, proline, prefer_pi: bool = True) -> str:
 
     # ladders, joined over bulges
     ladders: list[dict] = []
+    ends: dict[tuple, dict] = {}  # a ladder by the bridge that would go on with it
     for i, j, parallel in pairs:
-        for ladder in ladders:
-            if ladder["parallel"] == parallel and ladder["i"][-1] + 1 == i and (ladder["j"][-1] + 1 == j if parallel else ladder["j"][0] - 1 == j):
-                ladder["i"].append(i)
-                ladder["j"].insert(len(ladder["j"]) if parallel else 0, j)
-                break
-        else:
-            ladders.append({"parallel": parallel, "i": [i], "j": [j]})
+        ladder = ends.pop((i, j, parallel), None)
+        if ladder is None:
+            ladder = {"parallel": parallel, "i": [], "j": []}
+            ladders.append(ladder)
+        ladder["i"].append(i)
+        ladder["j"].insert(len(ladder["j"]) if parallel else 0, j)
+        ends.setdefault((i + 1, j + 1 if parallel else j - 1, parallel), ladder)
     ladders.sort(key=lambda x: (x["i"][0], x["j"][0]))
     k = 0
     while k < len(ladders):
@@ -149,7 +156,7 @@ def assign(n, ca, c, o, chain, seq, proline, prefer_pi: bool = True) -> str:
     if size > 4:
         u, v = ca[2:-2] - ca[:-4], ca[4:] - ca[2:-2]
         cos = (u * v).sum(1) / np.maximum(np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1), 1e-12)
-        ca_ok[2:-2] = (np.degrees(np.arccos(np.clip(cos, -1, 1))) > BEND_DEGREES) & (segment[:-4] == segment[4:])
+        ca_ok[2:-2] = (np.degrees(np.arccos(np.clip(cos, -1, 1))) > BEND_DEGREES) & (np.array(segment[:-4]) == np.array(segment[4:]))
     turn = [any(starts[k][i - s] for k in (3, 4, 5) for s in range(1, k) if i - s >= 0) for i in range(size)]
     for i in range(size):
         if state[i] == "C":
@@ -175,22 +182,48 @@ def assign(n, ca, c, o, chain, seq, proline, prefer_pi: bool = True) -> str:
     return "".join(state)
 
 
-def dssp(atoms: DataFrame, model: str = "model_id", prefer_pi: bool = True) -> DataFrame:
-    """(model, chain, resid, resname, state) of complete residues, from atoms (model, chain, resid, resname, name, x, y, z)."""
-
-    def kernel(pdf):
-        import pandas as pd
-
-        back = pdf[pdf["name"].isin(["N", "CA", "C", "O"])].drop_duplicates(["chain", "resid", "resname", "name"])
-        wide = back.set_index(["chain", "resid", "resname", "name"])[["x", "y", "z"]].unstack("name").dropna()
-        if wide.empty or {"N", "CA", "C", "O"} - set(wide.columns.get_level_values(1)):
-            return pdf[[model, "chain", "resid", "resname"]].head(0).assign(state=pd.Series([], dtype=object))
-        wide = wide.sort_index()
-        xyz = {a: wide[[("x", a), ("y", a), ("z", a)]].to_numpy(dtype=float) for a in ("N", "CA", "C", "O")}
-        chain, resid, resname = (wide.index.get_level_values(k).to_numpy() for k in ("chain", "resid", "resname"))
-        letters = assign(xyz["N"], xyz["CA"], xyz["C"], xyz["O"], chain, resid.astype(np.int64), resname == "PRO", prefer_pi)
-        return pd.DataFrame({model: pdf[model].iloc[0], "chain": chain, "resid": resid, "resname": resname, "state": list(letters)})
-
-    kinds = dict(atoms.select(model, "chain", "resid", "resname").dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (model, "chain", "resid", "resname"))
-    return atoms.select(model, "chain", "resid", "resname", "name", "x", "y", "z").groupBy(model).applyInPandas(kernel, f"{schema}, state string")
+def backbone(atoms: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per complete residue: keys, chain, resid, insertion, resname, place (of its first atom) and the positions of N, CA, C and O.
+
+    Of several alternates of an atom the first stands for it.
+    """
+    insertion = F.coalesce("insertion", F.lit("")) if "insertion" in atoms.columns else F.lit("")
+    order = F.col("atom_id") if "atom_id" in atoms.columns else F.lit(0)
+    rows = atoms.where(F.col("name").isin("N", "CA", "C", "O")).select(*keys, "chain", "resid", insertion.alias("insertion"), "resname", "name", order.alias("place"), F.struct(*[F.col(c).cast("double").alias(c) for c in "xyz"]).alias("p"))
+    pick = [F.min_by(F.when(F.col("name") == a, F.col("p")), F.when(F.col("name") == a, F.struct("place", "p"))).alias(a) for a in ("N", "CA", "C", "O")]
+    found = rows.groupBy(*keys, "chain", "resid", "insertion", "resname").agg(F.min("place").alias("place"), *pick)
+    whole = found.where(" AND ".join(f"{a} IS NOT NULL" for a in ("N", "CA", "C", "O")))
+    return whole.select(*keys, "chain", "resid", "insertion", "resname", "place", *[F.col(f"{a}.{c}").alias(f"{a}_{c}") for a in ("N", "CA", "C", "O") for c in "xyz"])
+
+
+def _batches(batches: Iterator, keys: list[str], prefer_pi: bool) -> Iterator:
+    import pyarrow as pa
+
+    for table, group in whole_groups(batches, keys):
+        column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        n, ca, c, o = (np.stack([column(f"{a}_{x}") for x in "xyz"], axis=1) for a in ("N", "CA", "C", "O"))
+        chain, seq, proline = column("chain"), column("resid").astype(np.int64), column("resname") == "PRO"
+        cut = breaks(c, n, chain, seq)
+        cut[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])] = True
+        best = hydrogen_bonds(n, ca, c, o, cut, proline, group)
+        starts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)].tolist()
+        letters = []
+        for a, b in zip(starts, starts[1:], strict=False):
+            own = [[(j - a, e) for j, e in part] for part in best[a:b]]
+            letters += assign(n[a:b], ca[a:b], c[a:b], o[a:b], chain[a:b], seq[a:b], proline[a:b], prefer_pi, own)
+        yield from table.select([*keys, "chain", "resid", "insertion", "resname"]).append_column("state", pa.array(letters, pa.string())).to_batches()
+
+
+def dssp(atoms: DataFrame, model: list[str] | str | None = None, prefer_pi: bool = True) -> DataFrame:
+    """(model_id, frame, chain, resid, insertion, resname, state) of complete residues, in the order of the file.
+
+    From atoms (model_id, chain, resid, resname, name, x, y, z, optionally frame, atom_id and insertion); model names the
+    columns that tell structures apart (by default model_id and, where there is one, frame). Residues stand in the order of
+    their first atoms, or by chain and number where there is no atom_id.
+    """
+    keys = [model] if isinstance(model, str) else model or [c for c in ("model_id", "frame") if c in atoms.columns]
+    rows = backbone(atoms, keys)
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "place", "chain", "resid", "insertion")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "chain", "resid", "insertion", "resname"))
+    return ordered.mapInArrow(lambda b: _batches(b, keys, prefer_pi), f"{schema}, state string")

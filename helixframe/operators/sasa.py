@@ -1,21 +1,35 @@
-"""Solvent-accessible surface area (Shrake and Rupley 1973), one Arrow batch of atoms per model.
+"""Solvent-accessible surface area (Shrake and Rupley 1973).
 
-Models are independent and bounded, so a kernel per model is the unit of work. Within a model, atoms are
-binned into cubes of the largest diameter, and each atom's test points are compared with its neighbours in
-one matrix product.
+Atoms are dealt to blocks of space, each with the atoms around it that may shade its own, so a large assembly is many
+tasks; the sphere around an atom is probed at `points` places, each place against all neighbours at once. A kernel takes
+many blocks of the sorted stream together and works on numpy arrays over all their atoms.
+
+Defined cases: models, frames and incompatible alternate locations don't shade each other; atoms with one id don't
+either; an atom whose centre coincides with another's has no area and an error; a negative or non-finite radius has area 0.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from helixframe.functions.interactions import contact_label
+from helixframe.operators.kernels import Grid, whole_groups
 
 PROBE, POINTS = 1.4, 100
+BLOCK, TOGETHER = 48.0, 2048  # width of a block; atoms whose points are tested together
 
 # Van der Waals radii by element (Bondi 1964 and later additions).
 VDW = {"H": 1.2, "C": 1.7, "N": 1.55, "O": 1.52, "F": 1.47, "P": 1.8, "S": 1.8, "CL": 1.75, "BR": 1.85, "I": 1.98, "SE": 1.9, "ZN": 1.39, "MG": 1.73, "FE": 2.0, "CA": 2.31, "NA": 2.27, "K": 2.75}
+# United-atom radii of protein atoms by chemistry (Tsai et al. 1999).
+N_ANY, S_ANY, O_BARE, O_HYDROGEN, C_PLANAR, C_PLANAR_H, C_TETRAHEDRAL = 1.64, 1.77, 1.42, 1.46, 1.61, 1.76, 1.88
+HYDROXYLS = ("OG", "OG1", "OH", "OD2", "OE2", "OXT")
+PLANAR_BARE = {"PHE": ("CG",), "TYR": ("CG", "CZ"), "TRP": ("CG", "CD2", "CE2"), "HIS": ("CG",), "ASP": ("CG",), "ASN": ("CG",), "GLU": ("CD",), "GLN": ("CD",), "ARG": ("CZ",)}
+PLANAR_H = {"PHE": ("CD1", "CD2", "CE1", "CE2", "CZ"), "TYR": ("CD1", "CD2", "CE1", "CE2"), "TRP": ("CD1", "CE3", "CZ2", "CZ3", "CH2"), "HIS": ("CD2", "CE1")}
 
 
 def sphere(n: int) -> np.ndarray:
@@ -34,53 +48,113 @@ def check(probe: float, points: int) -> None:
         raise ValueError("the number of points must be above zero")
 
 
-def areas(xyz: np.ndarray, radii: np.ndarray, probe: float = PROBE, points: int = POINTS, ids: np.ndarray | None = None) -> np.ndarray:
-    """Area per atom. A negative or non-finite radius gives 0; atoms with one id don't shade each other; other coincident centres raise."""
-    check(probe, points)
-    n = len(xyz)
-    out = np.zeros(n)
+def _in(table: dict[str, tuple]) -> Column:
+    return F.concat_ws(":", F.upper("resname"), F.upper("name")).isin(*[f"{r}:{n}" for r, names in table.items() for n in names])
+
+
+def element_radius(element: str = "element") -> Column:
+    """Radius by element; 1.7 for others."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in VDW.items() for x in kv]), F.upper(F.trim(element))), F.lit(1.7))
+
+
+def united_radius() -> Column:
+    """United-atom radius of a protein atom from resname and name; null for atoms of other residues and hydrogens."""
+    name, first = F.upper("name"), F.substring(F.upper("name"), 1, 1)
+    standard = F.upper("resname").isin("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL")
+    carbon = F.when((name == "C") | _in(PLANAR_BARE), C_PLANAR).when(_in(PLANAR_H), C_PLANAR_H).otherwise(C_TETRAHEDRAL)
+    return F.when(standard, F.when(first == "N", N_ANY).when(first == "S", S_ANY).when(first == "O", F.when(name.isin(*HYDROXYLS), O_HYDROGEN).otherwise(O_BARE)).when(first == "C", carbon))
+
+
+def atom_label() -> Column:
+    """idx-name-resid-resname-chain, the label of an atom in reports of areas."""
+    return contact_label(F.col("atom_id"), F.col("name"), F.col("resid"), F.col("resname"), F.col("chain"))
+
+
+def measure(xyz: np.ndarray, radii: np.ndarray, group: np.ndarray, who: np.ndarray, probe: float = PROBE, points: int = POINTS, ids: np.ndarray | None = None, altloc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Areas of the atoms `who`, and whether another centre coincides with theirs."""
+    out, same = np.zeros(len(who)), np.zeros(len(who), dtype=bool)
     valid = np.isfinite(radii) & (radii >= 0)
     grown = np.where(valid, radii + probe, 0.0)
     if not valid.any():
-        return out
+        return out, same
     dots = sphere(points)
-    width = max(2 * float(grown.max()), 1e-6)
-    cells = np.floor(xyz / width).astype(np.int64)
-    where: dict[tuple, list[int]] = {}
-    for i in np.flatnonzero(valid):
-        where.setdefault(tuple(cells[i]), []).append(i)
-    for cell, members in where.items():
-        near = np.array([j for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for j in where.get((cell[0] + a, cell[1] + b, cell[2] + c), ())])
-        for i in members:
-            v = xyz[near] - xyz[i]
-            d2 = (v * v).sum(axis=1)
-            reach = grown[i] + grown[near]
-            other = (near != i) & (d2 <= reach * reach)
-            if ids is not None:
-                other &= ids[near] != ids[i]
-            if not (d2[other] > 0).all():
-                raise ValueError("two atoms have the same centre")
-            v, d2, r = v[other], d2[other], grown[near][other]
-            free = points
-            if len(v) and grown[i] > 0:
-                limit = (r * r - d2 - grown[i] ** 2) / (2 * grown[i])
-                free = points - int(((-(dots @ v.T)) <= limit[None, :]).any(axis=1).sum())
-            out[i] = 4 * math.pi * grown[i] ** 2 * free / points
-    return out
-
-
-def sasa(atoms: DataFrame, model: str = "model_id", radius: str | None = None, probe: float = PROBE, points: int = POINTS, decimals: int | None = 3) -> DataFrame:
-    """(model, atom_id, area) from atoms (model, atom_id, element, x, y, z); radius names a column to use instead of the element's."""
+    kept = np.flatnonzero(valid)
+    grid = Grid(xyz[kept], group[kept], max(2 * float(grown.max()), 1e-6))
+    place = np.full(len(xyz), -1)
+    place[kept] = np.arange(len(kept))
+    asked = np.flatnonzero(valid[who])
+    for start in range(0, len(asked), TOGETHER):
+        part = asked[start : start + TOGETHER]
+        i, j, d2 = grid.pairs(place[who[part]])
+        a, b = who[part][i], kept[j]
+        near = d2 <= (grown[a] + grown[b]) ** 2
+        if ids is not None:
+            near &= ids[a] != ids[b]
+        if altloc is not None:
+            near &= (altloc[a] == "") | (altloc[b] == "") | (altloc[a] == altloc[b])
+        i, a, b, d2 = i[near], a[near], b[near], d2[near]
+        same[part[i[d2 == 0]]] = True
+        i, a, b, d2 = (x[d2 > 0] for x in (i, a, b, d2))
+        r = grown[who[part]]
+        free = np.full(len(part), points)
+        held = r[i] > 0
+        i, a, b, d2 = i[held], a[held], b[held], d2[held]
+        if len(i):
+            limit = (grown[b] ** 2 - d2 - grown[a] ** 2) / (2 * grown[a])
+            shaded = (xyz[a] - xyz[b]) @ dots.T <= limit[:, None]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            free[i[first]] = points - np.logical_or.reduceat(shaded, first, axis=0).sum(axis=1)
+        out[part] = 4 * math.pi * r**2 * free / points
+    return out, same
+
+
+def areas(xyz: np.ndarray, radii: np.ndarray, probe: float = PROBE, points: int = POINTS, ids: np.ndarray | None = None) -> np.ndarray:
+    """Area per atom of one structure. A negative or non-finite radius gives 0; atoms with one id don't shade each other; other coincident centres raise."""
+    check(probe, points)
+    found, same = measure(xyz, radii, np.zeros(len(xyz), dtype=np.int64), np.arange(len(xyz)), probe, points, ids) if len(xyz) else (np.zeros(0), np.zeros(0, dtype=bool))
+    if same.any():
+        raise ValueError("two atoms have the same centre")
+    return found
+
+
+def _batches(batches: Iterator, keys: list[str], probe: float, points: int, decimals: int | None) -> Iterator:
+    import pyarrow as pa
+
+    for table, group in whole_groups(batches, [*keys, "block"]):
+        column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        xyz = np.stack([column(c).astype(float) for c in "xyz"], axis=1)
+        own = np.flatnonzero(column("own"))
+        if not len(own):
+            continue
+        codes = table.column("atom_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        found, same = measure(xyz, column("radius").astype(float), group, own, probe, points, codes, column("altloc").astype(str))
+        found = np.round(found, decimals) if decimals is not None else found
+        kept = table.select([*keys, "atom_id"]).take(pa.array(own)).combine_chunks()
+        error = pa.array(["two atoms have the same centre" if x else None for x in same], pa.string())
+        for part in kept.append_column("area", pa.array(found, mask=same)).append_column("error", error).to_batches():
+            yield part
+
+
+def sasa(atoms: DataFrame, model: list[str] | str | None = None, radius: str | Column | None = None, probe: float = PROBE, points: int = POINTS, decimals: int | None = 3) -> DataFrame:
+    """(model_id, frame, atom_id, area, error) from atoms (model_id, atom_id, element, x, y, z, optionally frame and altloc).
+
+    model names the columns that tell structures apart (by default model_id and, where there is one, frame); radius is a
+    column to use instead of the element's radius.
+    """
     check(probe, points)
-    columns = [model, "atom_id", "x", "y", "z", radius or "element"]
-
-    def kernel(pdf):
-        pdf = pdf.sort_values("atom_id")
-        radii = pdf[radius].to_numpy(dtype=float) if radius else np.array([VDW.get(str(e).upper(), 1.7) for e in pdf["element"]])
-        found = areas(pdf[["x", "y", "z"]].to_numpy(dtype=float), radii, probe, points, pdf["atom_id"].to_numpy())
-        out = pdf[[model, "atom_id"]].copy()
-        out["area"] = np.round(found, decimals) if decimals is not None else found
-        return out
-
-    kinds = dict(atoms.select(model, "atom_id").dtypes)
-    return atoms.select(*columns).groupBy(model).applyInPandas(kernel, f"{model} {kinds[model]}, atom_id {kinds['atom_id']}, area double")
+    keys = [model] if isinstance(model, str) else model or [c for c in ("model_id", "frame") if c in atoms.columns]
+    size = element_radius() if radius is None else F.col(radius) if isinstance(radius, str) else radius
+    altloc = F.coalesce("altloc", F.lit("")) if "altloc" in atoms.columns else F.lit("")
+    rows = atoms.select(*keys, "atom_id", *[F.col(c).cast("double").alias(c) for c in "xyz"], size.cast("double").alias("radius"), altloc.alias("altloc"))
+    largest = max(VDW.values()) if radius is None else rows.agg(F.max(F.when((F.col("radius") >= 0) & (F.col("radius") < float("inf")), F.col("radius")))).first()[0] or 0.0
+    halo, wide = 2 * (largest + probe), max(BLOCK, 4 * (largest + probe))
+    of = lambda c, by: F.floor((F.col(c) + by) / wide).cast("long")
+    spread = rows
+    for c in "xyz":
+        spread = spread.withColumn(f"b{c}", F.explode(F.sequence(of(c, -halo), of(c, halo))))
+    own = (F.col("bx") == of("x", 0)) & (F.col("by") == of("y", 0)) & (F.col("bz") == of("z", 0))
+    dealt = spread.select(*keys, F.concat_ws(",", "bx", "by", "bz").alias("block"), "atom_id", *"xyz", "radius", "altloc", own.alias("own"))
+    ordered = dealt.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "atom_id")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "atom_id"))
+    return ordered.mapInArrow(lambda b: _batches(b, keys, probe, points, decimals), f"{schema}, area double, error string")

@@ -292,7 +292,10 @@ def rings(atoms: DataFrame, model: list[str] = MODEL) -> DataFrame:
 
 
 def charge_groups(feature: DataFrame, model: list[str] = MODEL) -> DataFrame:
-    """(model, group_id, residue, kind, feature, atom_ids, points, x, y, z): charged side chains, phosphates, carboxylates, ions."""
+    """(model, group_id, residue, kind, feature, atom_ids, points, first_bonds, x, y, z): charged side chains, phosphates, carboxylates, ions.
+
+    first_bonds holds the ids of the atoms bonded to the group's first.
+    """
     el, res, name = F.col("el"), F.col("resname"), F.col("name")
     side = ~name.isin("N", "CA", "C", "O", "OXT")
     positive = res.isin("ARG", "HIS", "LYS") & (el == "N") & side
@@ -307,7 +310,7 @@ def charge_groups(feature: DataFrame, model: list[str] = MODEL) -> DataFrame:
     label = F.when(phosphate, "Phosphate").when(F.col("__center").isNotNull() & (F.col("rclass") == "other"), "Carboxylate").otherwise("None")
     part = F.when(phosphate, center_of).when(F.col("__center").isNotNull(), F.col("__center")).when(ion, F.col("atom_id")).otherwise(F.lit(-1))
     rows = marked.withColumns({"kind": kind, "feature": label, "__part": part.cast("long")}).where("kind is not null")
-    grouped = rows.groupBy(*model, *RESIDUE, "kind", "feature", "__part").agg(F.array_sort(F.collect_list(F.struct("atom_id", F.struct("x", "y", "z").alias("p")))).alias("parts"))
-    measured = grouped.withColumns({"atom_ids": F.col("parts.atom_id"), "points": F.transform("parts", lambda t: t["p"])}).withColumn("center", centroid(F.col("points")))
+    grouped = rows.groupBy(*model, *RESIDUE, "kind", "feature", "__part").agg(F.array_sort(F.collect_list(F.struct("atom_id", F.struct("x", "y", "z").alias("p"), F.transform("nbrs", lambda n: n["atom_id"]).alias("bonds")))).alias("parts"))
+    measured = grouped.withColumns({"first_bonds": F.col("parts")[0]["bonds"], "atom_ids": F.col("parts.atom_id"), "points": F.transform("parts", lambda t: t["p"])}).withColumn("center", centroid(F.col("points")))
     index = F.row_number().over(Window.partitionBy(*model).orderBy(F.col("atom_ids")[0], "kind")) - 1
-    return measured.select(*model, index.cast("long").alias("group_id"), *RESIDUE, "kind", "feature", "atom_ids", "points", "center.x", "center.y", "center.z")
+    return measured.select(*model, index.cast("long").alias("group_id"), *RESIDUE, "kind", "feature", "atom_ids", "points", "first_bonds", "center.x", "center.y", "center.z")

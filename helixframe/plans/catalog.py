@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixframe.plans import metrics, relational, spatial, structures
+from helixframe.plans import contact_rules, metrics, relational, spatial, structures
 
-_ALL = spatial.QUERIES | metrics.QUERIES | structures.QUERIES | relational.QUERIES
+_ALL = spatial.QUERIES | metrics.QUERIES | structures.QUERIES | contact_rules.QUERIES | relational.QUERIES
 
 
 def queries() -> dict:

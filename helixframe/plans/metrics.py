@@ -34,7 +34,7 @@ def shape_metrics(spark, d):
 
 def shape_asphericity(spark, d):
     m = shape.shape_metrics(shape.principal_moments(shape.gyration_tensor(particles(spark, d), ["model_id"])))
-    return m.select("model_id", "pm0", "pm1", "pm2", "asphericity", "acylindricity")
+    return m.select("model_id", *[(F.round(c, 5) + 0.0).alias(c) for c in ("pm0", "pm1", "pm2", "asphericity", "acylindricity")])
 
 
 def confidence(spark, d):
@@ -81,7 +81,7 @@ seg AS (SELECT model_id, count(*) FILTER (run > 0) AS plddt_poor_segment_count,
 SELECT * FROM fr JOIN seg USING (model_id)"""
 
 
-def compaction(spark, d):
+def _records(spark, d):
     """Compaction records of models whose coordinates are placed on a fixed curve; rows that lack something keep their status."""
     m = models(spark, d)
     n = F.aggregate(shape.atom_counts(F.col("sequence")), F.lit(0), lambda a, c: a + c)
@@ -89,8 +89,14 @@ def compaction(spark, d):
     return shape.compaction_record(m.withColumn("coords", xyz), 0.2)
 
 
+def compaction(spark, d):
+    numbers = [F.round(c, 6).alias(c) for c in ("high_fraction", "rg", "rg_weighted", "rg_normalized", "highest_threshold")]
+    whole = [F.coalesce(F.col(c), F.lit(-1)).cast("long").alias(c) for c in ("n_residues", "trim_start", "trim_end", "n_kept", "n_atoms_kept")]
+    return _records(spark, d).select("model_id", "status", *whole, *numbers, F.col("passes")["0.80"].alias("passes_80"), F.col("passes")["0.99"].alias("passes_99"))
+
+
 def compaction_summary(spark, d):
-    return shape.summary(compaction(spark, d))
+    return shape.summary(_records(spark, d))
 
 
 # sets of contacts
@@ -156,11 +162,10 @@ def type_codes(spark, d):
 
 
 def compact_json(spark, d):
-    """One JSON text per type: its contacts with compact distances, in order."""
+    """A JSON text of every contact with its compact distance; a sink gathers them by type without a list in one task."""
     a, _ = _sets(spark, d)
     row = F.struct("lhs", "rhs", interactions.compact_number(F.col("distance_sq")).alias("d"))
-    grouped = a.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(row)).alias("contacts"))
-    return grouped.select("type", "n", F.to_json(F.col("contacts")[0]).alias("first"))
+    return a.select("type", "lhs", "rhs", F.to_json(row).alias("payload"))
 
 
 # functions
@@ -202,7 +207,26 @@ m AS (SELECT k.*, lo, hi, coalesce(position BETWEEN lo AND hi, false) AS inside,
 SELECT model_id, count(*) AS n_residues, count(*) FILTER (inside) AS n_kept, coalesce(sum(CASE WHEN position < lo THEN 1 WHEN position >= lo THEN 0 END), count(*))::BIGINT AS trimmed_start,
   coalesce(sum(CASE WHEN position > hi THEN 1 WHEN position <= hi THEN 0 END), 0)::BIGINT AS trimmed_end, round(avg(sure), 9) AS confidence, round(coalesce(avg(sure) FILTER (inside), 0.0), 9) AS confidence_kept FROM m GROUP BY 1"""
 _ATOMS_SQL = "CASE substr('ARNDCQEGHILKMFPSTWYV', (position % 20 + 1)::INT, 1) " + " ".join(f"WHEN '{a}' THEN {n}" for a, n in shape.ATOMS.items()) + " END"
-_COV = lambda a, b: f"covar_pop({a}, {b})"
+_MOMENTS_SQL = f"""WITH {PARTICLES_SQL}, t AS (SELECT model_id, var_pop(x) AS xx, var_pop(y) AS yy, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM par GROUP BY 1),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM t), p AS (SELECT *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*(xy*xy + xz*xz + yz*yz)) / 6) AS p FROM q),
+r AS (SELECT *, CASE WHEN p > 1e-12 THEN acos(greatest(-1.0, least(1.0, (((xx-q)/p)*(((yy-q)/p)*((zz-q)/p) - (yz/p)*(yz/p)) - (xy/p)*((xy/p)*((zz-q)/p) - (yz/p)*(xz/p)) + (xz/p)*((xy/p)*(yz/p) - ((yy-q)/p)*(xz/p))) / 2))) / 3 END AS phi FROM p),
+e AS (SELECT model_id, q, CASE WHEN phi IS NULL THEN q ELSE q + 2*p*cos(phi) END AS pm2, CASE WHEN phi IS NULL THEN q ELSE q + 2*p*cos(phi + 2.0943951023931953) END AS pm0 FROM r),
+m AS (SELECT model_id, pm0, 3*q - pm0 - pm2 AS pm1, pm2 FROM e)
+SELECT model_id, round(pm0, 5) + 0.0::DOUBLE AS pm0, round(pm1, 5) + 0.0::DOUBLE AS pm1, round(pm2, 5) + 0.0::DOUBLE AS pm2, round(pm2 - 0.5*(pm0 + pm1), 5) + 0.0::DOUBLE AS asphericity, round(pm1 - pm0, 5) + 0.0::DOUBLE AS acylindricity FROM m"""
+_RECORDS_SQL = f"""WITH {RESIDUES_SQL}, c AS (SELECT model_id, position, {_ATOMS_SQL} + CASE WHEN position = max(position) OVER (PARTITION BY model_id) THEN 1 ELSE 0 END AS cnt,
+  CASE WHEN plddt IN ('High', 'VeryHigh') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sure, NOT (dssp IN ('Coil', 'Turn', 'Bend') AND plddt IN ('Low', 'VeryLow')) AS keep FROM res),
+r AS (SELECT *, sum(cnt) OVER (PARTITION BY model_id ORDER BY position) - cnt AS before FROM c),
+b AS (SELECT model_id, count(*) AS n_residues, min(position) FILTER (keep) AS lo, max(position) FILTER (keep) AS hi FROM c GROUP BY 1),
+k AS (SELECT r.* FROM r JOIN b USING (model_id) WHERE position BETWEEN lo AND hi),
+h AS (SELECT model_id, avg(sure) AS f, count(*) AS n_kept, sum(cnt) AS n_atoms FROM k GROUP BY 1),
+i AS (SELECT model_id, cnt::DOUBLE AS w, unnest(range(before::BIGINT + 1, (before + cnt)::BIGINT + 1))::DOUBLE AS i FROM k),
+a AS (SELECT model_id, w, cos(i * 0.7::DOUBLE) AS x, sin(i * 0.7::DOUBLE) AS y, i * 0.15::DOUBLE AS z FROM i),
+m AS (SELECT model_id, sum(w*x)/sum(w) AS cx, sum(w*y)/sum(w) AS cy, sum(w*z)/sum(w) AS cz FROM a GROUP BY 1),
+g AS (SELECT model_id, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rg, sqrt(sum(w*((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz))) / sum(w)) AS rgw FROM a JOIN m USING (model_id) GROUP BY 1),
+s AS (SELECT b.*, h.*EXCLUDE(model_id), g.rg, g.rgw, CASE WHEN lo IS NULL THEN 'trimmed_empty' WHEN f < 0.2 THEN 'failed_confidence' ELSE 'ok' END AS status FROM b LEFT JOIN h USING (model_id) LEFT JOIN g USING (model_id)),
+rec AS (SELECT model_id::VARCHAR AS model_id, status, n_residues, CASE WHEN status = 'ok' THEN lo - 1 ELSE -1 END AS trim_start, CASE WHEN status = 'ok' THEN hi ELSE -1 END AS trim_end, CASE WHEN status = 'ok' THEN n_kept ELSE -1 END AS n_kept, CASE WHEN status = 'ok' THEN n_atoms ELSE -1 END::BIGINT AS n_atoms_kept,
+  CASE WHEN status = 'ok' THEN f END AS f, CASE WHEN status = 'ok' THEN rg END AS rg, CASE WHEN status = 'ok' THEN rgw END AS rgw FROM s) """
+
 
 QUERIES = {
     "r1_radius_of_gyration": (rg, f"WITH {PARTICLES_SQL} SELECT model_id, count(*) AS n, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) AS rg FROM par GROUP BY 1"),
@@ -210,15 +234,16 @@ QUERIES = {
     "r3_gyration_tensor": (tensor, f"WITH {PARTICLES_SQL} SELECT model_id, count(*) AS n, round(avg(x), 6) + 0.0::DOUBLE AS cx, round(avg(y), 6) + 0.0::DOUBLE AS cy, round(avg(z), 6) + 0.0::DOUBLE AS cz, round(var_pop(x), 6) + 0.0::DOUBLE AS xx, round(var_pop(y), 6) + 0.0::DOUBLE AS yy, round(var_pop(z), 6) + 0.0::DOUBLE AS zz, round(covar_pop(x, y), 6) + 0.0::DOUBLE AS xy, round(covar_pop(x, z), 6) + 0.0::DOUBLE AS xz, round(covar_pop(y, z), 6) + 0.0::DOUBLE AS yz FROM par GROUP BY 1"),
     "r4_shape_metrics": (shape_metrics, f"""WITH {POINTS_SQL}, t AS (SELECT chain, count(*) AS n, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM pts GROUP BY 1)
 SELECT chain, n, round(a+b+c, 6) AS rg_sq, round(1 - 3*(a*b-d*d+a*c-e*e+b*c-f*f)/((a+b+c)*(a+b+c)), 6) AS kappa2, round(a*(b*c-f*f)-d*(d*c-f*e)+e*(d*f-b*e), 2) AS det FROM t"""),
-    "r4_principal_moments": (shape_asphericity, None),
+    "r4_principal_moments": (shape_asphericity, _MOMENTS_SQL),
     "r5_confidence_fraction": (confidence, f"WITH {RESIDUES_SQL} SELECT model_id, round(avg(CASE WHEN plddt IN ('High', 'VeryHigh') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS high_fraction FROM res GROUP BY 1"),
     "r6_trim_tails": (trim, _TRIM_SQL),
     "r7_atom_counts": (atom_counts, f"WITH {RESIDUES_SQL} SELECT model_id::VARCHAR AS model_id, count(*) AS n, (sum({_ATOMS_SQL}) + 1)::BIGINT AS n_atoms, (sum(CASE WHEN position <= 2 THEN {_ATOMS_SQL} END) + CASE WHEN count(*) = 2 THEN 1 ELSE 0 END)::BIGINT AS third FROM res GROUP BY 1"),
     "r8_normalized_rg": (normalized, f"WITH {POINTS_SQL} SELECT resname, round(sqrt(var_pop(x)+var_pop(y)+var_pop(z)) / cbrt(count(*)), 6) AS rg_normalized FROM pts GROUP BY 1"),
     "r9_thresholds": (thresholds, f"WITH {RESIDUES_SQL}, f AS (SELECT model_id, avg(CASE WHEN score > 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS f FROM res GROUP BY 1) SELECT model_id, f >= 0.8 AS passes_80, f >= 0.9 AS passes_90, f >= 0.95 AS passes_95, f >= 0.99 AS passes_99, CASE WHEN f >= 0.99 THEN 0.99 WHEN f >= 0.95 THEN 0.95 WHEN f >= 0.9 THEN 0.9 WHEN f >= 0.8 THEN 0.8 ELSE 0.0 END::DOUBLE AS highest FROM f"),
-    "r10_compaction_records": (compaction, None),
+    "r10_compaction_records": (compaction, _RECORDS_SQL + """SELECT model_id, status, n_residues, trim_start, trim_end, n_kept, n_atoms_kept, round(f, 6) AS high_fraction, round(rg, 6) AS rg, round(rgw, 6) AS rg_weighted, round(rg / cbrt(n_kept), 6) AS rg_normalized,
+  CASE WHEN f >= 0.99 THEN 0.99 WHEN f >= 0.95 THEN 0.95 WHEN f >= 0.9 THEN 0.9 WHEN f >= 0.8 THEN 0.8 WHEN f IS NOT NULL THEN 0.0 END::DOUBLE AS highest_threshold, f >= 0.8 AS passes_80, f >= 0.99 AS passes_99 FROM rec"""),
     "r12_quality_metrics": (quality, _quality_sql()),
-    "r19_compaction_summary": (compaction_summary, None),
+    "r19_compaction_summary": (compaction_summary, _RECORDS_SQL + "SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS written, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in shape.REASONS) + ", " + ", ".join(f"count(*) FILTER (f >= {t}) AS passed_{round(t * 100)}" for t in shape.THRESHOLDS) + " FROM rec"),
     "r21_contacts_by_type": (count_by_type, _SETS_SQL + "SELECT type, count(*) AS n_contacts FROM r GROUP BY 1"),
     "u1_union": (set_union, _SETS_SQL + "SELECT lhs, rhs, type, round(d2, 6) AS d2 FROM (SELECT * FROM l UNION SELECT * FROM r)"),
     "u2_intersection": (set_intersection, _SETS_SQL + "SELECT lhs, rhs, type, round(d2, 6) AS d2 FROM (SELECT * FROM l INTERSECT SELECT * FROM r)"),
@@ -230,7 +255,7 @@ SELECT chain, n, round(a+b+c, 6) AS rg_sq, round(1 - 3*(a*b-d*d+a*c-e*e+b*c-f*f)
     "f1_plddt_categories": (plddt_categories, f"WITH {RESIDUES_SQL} SELECT plddt, count(*) AS n FROM res GROUP BY 1"),
     "f2_category_letters": (category_letters, f"WITH {RESIDUES_SQL} SELECT model_id::VARCHAR AS model_id, string_agg(CASE plddt WHEN 'VeryHigh' THEN 'E' WHEN 'High' THEN 'H' WHEN 'Low' THEN 'L' ELSE 'P' END, '' ORDER BY position) AS plddt, string_agg(CASE dssp WHEN 'Coil' THEN 'C' WHEN 'AlphaHelix' THEN 'H' WHEN 'Strand' THEN 'E' WHEN 'Turn' THEN 'T' WHEN 'Bend' THEN 'S' END, '' ORDER BY position) AS dssp FROM res GROUP BY 1"),
     "f3_fixed_scores": (fixed_scores, f"WITH {RESIDUES_SQL} SELECT model_id, position, printf('%.1f', greatest(0.0, least(100.0, floor(score * 10 + 0.5) / 10))) AS text FROM res"),
-    "f5_compact_contacts": (compact_json, None),
+    "f5_compact_contacts": (compact_json, _SETS_SQL + """SELECT type, lhs, rhs, '{"lhs":' || lhs || ',"rhs":' || rhs || ',"d":"' || regexp_replace(regexp_replace(printf('%.2f', d2), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || '"}' AS payload FROM l"""),
     "f7_json": (json_props, "SELECT event_id, (props->>'$.k')::BIGINT AS k, '{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS payload FROM events"),
     "f10_type_codes": (type_codes, _SETS_SQL + "SELECT lhs, rhs, CASE type WHEN 'Hydrophobic' THEN 2 ELSE 14 END::BIGINT AS code, CASE type WHEN 'Hydrophobic' THEN 'hp' ELSE 'vdw' END AS short FROM l"),
     "x7_extract_sequence": (extract_sequence, f"""WITH {RESIDUES_SQL}, s AS (SELECT model_id::VARCHAR AS model_id, string_agg(substr('ARNDCQEGHILKMFPSTWYV', (position % 20 + 1)::INT, 1), '' ORDER BY position) AS s FROM res GROUP BY 1) SELECT model_id, '{{"model":"' || model_id || '","sequence":"' || s || '"}}' AS payload FROM s"""),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.geometry import vec
 from helixframe.functions.interactions import contact_label, entity_id, entity_index, entity_kind
 from helixframe.functions.selection import select_atoms
-from helixframe.operators import contacts, distances, radius, topology
+from helixframe.operators import contact_set, contacts, distances, radius, topology
 from helixframe.sources.adapters import POINTS_SQL, points
 
 RADIUS, STEP = 5.0, 50
@@ -81,10 +81,11 @@ def csr(spark, d):
 
 
 def resolve(spark, d):
-    p = points(spark, d)
-    near = radius.self_join(p, RADIUS / 2)
-    side = lambda s: p.select(F.col("atom_id").alias(s), contact_label(F.col("atom_id"), F.concat(F.lit("C"), (F.col("atom_id") % 4).cast("string")), F.col("resid"), F.col("resname"), F.col("chain")).alias(f"label_{s}"))
-    return near.join(side("i"), "i", "left").join(side("j"), "j", "left").select("label_i", "label_j", F.round("distance_sq", 6).alias("d2"))
+    p = points(spark, d).withColumn("name", F.concat(F.lit("C"), (F.col("atom_id") % 4).cast("string")))
+    near = radius.self_join(p, RADIUS / 2).select(F.col("i").alias("lhs"), F.col("j").alias("rhs"), "distance_sq")
+    met = contact_set.resolve(near, p)
+    label = lambda key, s: contact_label(F.col(key), *[F.col(f"{c}_{s}") for c in ("name", "resid", "resname", "chain")])
+    return met.select(label("lhs", "l").alias("label_i"), label("rhs", "r").alias("label_j"), F.round("distance_sq", 6).alias("d2"))
 
 
 def tiling(spark, d):
