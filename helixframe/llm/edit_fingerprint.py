@@ -34,7 +34,9 @@ other; a single row is its own successor; an empty table gives no rows; other co
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -47,7 +49,8 @@ from helixframe.llm.common import components, materialize, table, text_of
 SEED, WALKS, SAMPLES, DIGIT = 11, 4, 32, 4
 BITS = WALKS * SAMPLES * DIGIT
 PERIOD, CLASSES = 8192, 64
-LANES, FEW_LANES, CHUNK_CHARS = 1024, 64, 1 << 20  # lanes that walk in step; fewer than FEW_LANES walk one by one
+LANES, CHUNK_CHARS = 512, 3 << 19  # lanes that walk in step, over texts of CHUNK_CHARS together
+ALONE_COST, STEP_COST = 0.2, 5.0  # microseconds of a step alone and of a step of all lanes; they decide how a text walks, never where to
 BANDS, BAND_DIGITS, NEAR = 12, 11, 0.75  # bands of each walk
 RANGE_BYTES, MOST_RANGES = 16 << 20, 100_000  # beyond MOST_RANGES ranges grow; they are sorted and read as streams
 NO_ID = -(1 << 63)
@@ -119,25 +122,48 @@ def _walk_alone(codes, start: int, walk: int):
     return np.concatenate([*parts, np.array([at], dtype=np.int64)])
 
 
-def _walk_in_step(texts: list, starts):
-    """The same for all walks of several texts: (longest + 1, WALKS, texts); a text that has ended stays where it is."""
+def _lanes(sizes: list[int], lanes: int) -> list[list[int]]:
+    """The texts of each lane: longest first, each to the lane that ends first."""
+    ends, found = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        end, lane = heapq.heappop(ends)
+        found[lane].append(k)
+        heapq.heappush(ends, (end + sizes[k] + 1, lane))
+    return found
+
+
+def _walk_in_step(texts: list, starts: list, lanes: int) -> list:
+    """The same for all walks of many texts, which follow each other in lanes; per text an array (WALKS, length + 1)."""
     import numpy as np
 
-    steps, mask, longest = _steps(), PERIOD - 1, max(map(len, texts))
-    rows = np.full((longest, len(texts)), CLASSES * PERIOD, dtype=np.int64)
-    for k, codes in enumerate(texts):
-        rows[: len(codes), k] = _rows_of(codes)
+    steps, mask = _steps(), PERIOD - 1
+    dealt = _lanes([len(t) for t in texts], lanes)
+    longest = max(sum(len(texts[k]) + 1 for k in lane) for lane in dealt)
+    rows = np.full((longest, lanes), CLASSES * PERIOD, dtype=np.int64)  # after a text a step of nothing
+    fresh: dict[int, list] = defaultdict(list)
+    place = {}
+    for lane, members in enumerate(dealt):
+        at = 0
+        for k in members:
+            rows[at : at + len(texts[k]), lane] = _rows_of(texts[k])
+            fresh[at].append((lane, starts[k]))
+            place[k] = at, lane
+            at += len(texts[k]) + 1
     base = (np.arange(WALKS) * (CLASSES + 1) * PERIOD)[:, None]
-    found = np.empty((longest + 1, WALKS, len(texts)), dtype=np.int64)
-    found[0] = starts
+    found = np.zeros((longest + 1, WALKS, lanes), dtype=np.int64)
     index, taken = np.empty_like(found[0]), np.empty_like(found[0])
+    band, take, add = np.bitwise_and, np.take, np.add
     for i in range(longest):
-        np.bitwise_and(found[i], mask, out=index)
+        now = found[i]
+        if i in fresh:
+            for lane, first in fresh[i]:
+                now[:, lane] = first
+        band(now, mask, out=index)
         index += rows[i]
         index += base
-        np.take(steps, index, out=taken, mode="clip")
-        np.add(found[i], taken, out=found[i + 1])
-    return found
+        take(steps, index, out=taken, mode="clip")
+        add(now, taken, out=found[i + 1])
+    return [np.ascontiguousarray(found[at : at + len(t) + 1, :, lane].T) for t, (at, lane) in ((t, place[k]) for k, t in enumerate(texts))]
 
 
 def walks(texts: list, starts: list) -> list:
@@ -145,38 +171,34 @@ def walks(texts: list, starts: list) -> list:
     import numpy as np
 
     found: list = [None] * len(texts)
-    order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
-    at = 0
-    while at < len(order):
-        first = len(texts[order[at]])
-        end = at + 1
-        while end < len(order) and end - at < LANES // WALKS and len(texts[order[end]]) <= 1.25 * first + 32 and (end - at + 1) * len(texts[order[end]]) <= CHUNK_CHARS:
-            end += 1
-        group = order[at:end]
-        if len(group) * WALKS < FEW_LANES:
-            for k in group:
-                found[k] = np.stack([_walk_alone(texts[k], starts[k][w], w) for w in range(WALKS)])
-        else:
-            together = _walk_in_step([texts[k] for k in group], np.array([starts[k] for k in group]).T)
-            for lane, k in enumerate(group):
-                found[k] = np.ascontiguousarray(together[: len(texts[k]) + 1, :, lane].T)
-        at = end
+    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+    sizes = np.array([len(texts[k]) + 1 for k in order])
+    rest = np.append(sizes[::-1].cumsum()[::-1], 0)  # from each text on
+    steps = np.maximum(np.append(sizes, 0), rest * WALKS // LANES)
+    alone = int(np.argmin((rest[0] - rest) * WALKS * ALONE_COST + steps * STEP_COST))  # the longest texts, as far as that is cheaper
+    for k in order[:alone]:
+        found[k] = np.stack([_walk_alone(texts[k], starts[k][w], w) for w in range(WALKS)])
+    if order[alone:]:
+        lanes = min(LANES // WALKS, int(rest[alone] // sizes[alone]))
+        for k, walked in zip(order[alone:], _walk_in_step([texts[k] for k in order[alone:]], [starts[k] for k in order[alone:]], lanes), strict=True):
+            found[k] = walked
     return found
 
 
-def _sample(codes, reached):
-    """The fingerprint's samples of a text from its walks, DIGIT bits each."""
+def _samples(texts: list, reached: list):
+    """(texts, WALKS * SAMPLES): the fingerprints' samples from the walks, DIGIT bits each."""
     import numpy as np
 
-    n = WALKS * SAMPLES
-    if not len(codes):
-        symbols = np.zeros(n, dtype=np.uint64)
-    else:
-        records = _records()
-        lengths = np.repeat(reached[:, -1], SAMPLES)
-        where = records[np.arange(n), (records < lengths[:, None]).sum(axis=1) - 1].reshape(WALKS, SAMPLES)
-        at = np.concatenate([np.searchsorted(reached[w], where[w], side="right") - 1 for w in range(WALKS)])
-        symbols = codes[at].astype(np.uint64) + np.uint64(1)
+    n, records = WALKS * SAMPLES, _records()
+    symbols = np.zeros((len(texts), n), dtype=np.uint64)
+    lengths = np.array([r[:, -1] for r in reached], dtype=np.int64).reshape(len(texts), WALKS)
+    where = np.stack([records[k][np.maximum(np.searchsorted(records[k], lengths[:, k // SAMPLES], side="left") - 1, 0)] for k in range(n)], axis=1)
+    for d, (codes, walked) in enumerate(zip(texts, reached, strict=True)):
+        if len(codes):
+            for w in range(WALKS):
+                part = slice(w * SAMPLES, (w + 1) * SAMPLES)
+                symbols[d, part] = codes[walked[w].searchsorted(where[d, part], side="right") - 1]
+            symbols[d] += np.uint64(1)
     mixed = (symbols * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((mixed >> np.uint64(40)) % np.uint64(1 << DIGIT)).astype(np.uint8)
@@ -190,7 +212,7 @@ def _hex(samples) -> str:
 def fingerprint(text: str | None) -> str:
     """BITS / 4 hex digits."""
     codes = _codes(text or "")
-    return _hex(_sample(codes, walks([codes], [[0] * WALKS])[0]))
+    return _hex(_samples([codes], walks([codes], [[0] * WALKS]))[0])
 
 
 def _freed(share: float) -> float:
@@ -244,7 +266,7 @@ def _neighbour_batches(batches: Iterator) -> Iterator:
     for rows in _rows(batches):
         codes = [_codes(r[3]) for r in rows]
         reached = walks(codes, [[0] * WALKS] * len(rows))
-        met = last + [(r, c, w, _sample(c, w)) for r, c, w in zip(rows, codes, reached, strict=True)]
+        met = last + list(zip(rows, codes, reached, _samples(codes, reached), strict=True))
         pairs = [(a, b) for a, b in zip(met, met[1:], strict=False) if a[0][0] == b[0][0] and not a[0][1]]
         last = met[-1:]
         tails, starts, keeps = [], [], []
@@ -253,10 +275,12 @@ def _neighbour_batches(batches: Iterator) -> Iterator:
             keeps.append(n - n // 2)
             tails.append(then[: n // 2])
             starts.append(walked[:, keeps[-1]].tolist())
+        further = walks(tails, starts)
+        joined = [np.concatenate([p[0][1][:keep], tail]) for p, keep, tail in zip(pairs, keeps, tails, strict=True)]
+        edits = _samples(joined, [np.concatenate([p[0][2][:, :keep], more], axis=1) for p, keep, more in zip(pairs, keeps, further, strict=True)])
         out: list[tuple] = []
-        for (row, own, walked, samples), then, keep, tail, further in zip((p[0] for p in pairs), (p[1] for p in pairs), keeps, tails, walks(tails, starts), strict=True):
+        for ((row, own, _, samples), then), keep, changed in zip(pairs, keeps, edits, strict=True):
             edited = row[3][:keep] + then[0][3][: len(own) // 2]
-            changed = _sample(np.concatenate([own[:keep], tail]), np.concatenate([walked[:, :keep], further], axis=1))
             out.append((None if row[2] == NO_ID else row[2], len(own), hashlib.sha256(edited.encode()).hexdigest(), _hex(samples), _hex(changed), _likeness(samples, changed), _likeness(samples, then[3])))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -287,8 +311,8 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = rows.withColumn("bucket", bucket("id", "h"))
     heads = dealt.groupBy("bucket").agg(F.max(F.struct("id", F.bitwise_not("h").alias("least_h"))).alias("head")).orderBy("bucket").collect()  # one narrow row a range; ~h falls as h grows
     before = [(r["head"]["id"], ~r["head"]["least_h"], heads[k - 1]["bucket"]) for k, r in enumerate(heads)]  # the range before; before the first comes the last
-    known = spark.createDataFrame(before, "id long, h long, bucket long")
-    tails = rows.join(known, ["id", "h"]).dropDuplicates(["bucket"]).select("bucket", F.lit(True).alias("tail"), "id", "h", "text")
+    known = spark.createDataFrame(before, "id long, h long, bucket long")  # MOST_RANGES narrow rows at most
+    tails = rows.join(F.broadcast(known), ["id", "h"]).dropDuplicates(["bucket"]).select("bucket", F.lit(True).alias("tail"), "id", "h", "text")
     placed = dealt.select("bucket", F.lit(False).alias("tail"), "id", "h", "text").unionByName(tails)
     ordered = placed.repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("id"), "h", "text").select("bucket", "tail", "id", "text")
     return ordered.mapInArrow(_neighbour_batches, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -247,7 +247,7 @@ def test_edit_walks_like_a_slow_form():
     rng = random.Random(7)
     texts = ["", "a", "é😀", *("".join(rng.choice("abcdefghij klmnopß😀") for _ in range(rng.randrange(1, 700))) for _ in range(60)), "x" * 9000]
     codes = [edit_fingerprint._codes(t) for t in texts]
-    together = [edit_fingerprint._hex(edit_fingerprint._sample(c, w)) for c, w in zip(codes, edit_fingerprint.walks(codes, [[0] * edit_fingerprint.WALKS] * len(codes)), strict=True)]
+    together = [edit_fingerprint._hex(x) for x in edit_fingerprint._samples(codes, edit_fingerprint.walks(codes, [[0] * edit_fingerprint.WALKS] * len(codes)))]
     for t, found in zip(texts, together, strict=True):
         assert found == edit_fingerprint.fingerprint(t) == slow_fingerprint(t)
 
