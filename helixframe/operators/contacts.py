@@ -321,7 +321,7 @@ def contacts(atoms: DataFrame, provider: str = "molstar", only: TypeSet | None =
     feature = typed = materialize(chosen.types(topo.features(atoms, topo.bonds(atoms, model, ends=True), model)), "typed-atoms")
     out = [atom_contacts(typed, rules, model)] if rules else []
     extra = [t for t in OTHER[provider] if wanted(t)]
-    rings = topo.rings(atoms, model) if set(extra) - {"Ionic"} else None
+    rings = topo.rings(atoms, model, feature) if set(extra) - {"Ionic"} else None
     if provider == "molstar":
         groups = topo.charge_groups(feature, model) if set(extra) & {"Ionic", "CationPi"} else None
         if "Ionic" in extra:

@@ -277,8 +277,8 @@ def type_names(column: Column) -> Column:
     return F.filter(F.array(*[F.when(has(column, n), F.lit(n)) for n in TYPES]), lambda n: n.isNotNull())
 
 
-def rings(atoms: DataFrame, model: list[str] = MODEL) -> DataFrame:
-    """(model, ring_id, residue, atom_ids, center, normal, x, y, z, aromatic) of the rings of known residues."""
+def rings(atoms: DataFrame, model: list[str] = MODEL, feature: DataFrame | None = None) -> DataFrame:
+    """(model, ring_id, residue, atom_ids, center, normal, x, y, z, aromatic) of the rings of known residues, and with feature of ligands' planar rings."""
     rows = [(r, k, p, n, len(ring)) for r, many in RINGS.items() for k, ring in enumerate(many) for p, n in enumerate(ring)]
     table = F.broadcast(atoms.sparkSession.createDataFrame(rows, "resname string, ring_no int, place int, name string, size int"))  # a fixed table
     met = atoms.where(F.col("resname").isin(*RINGS)).select(*model, *RESIDUE, "atom_id", "name", "altloc", "x", "y", "z").join(table, ["resname", "name"])
@@ -286,13 +286,18 @@ def rings(atoms: DataFrame, model: list[str] = MODEL) -> DataFrame:
     one = met.withColumn("__n", F.row_number().over(first)).where("__n = 1")
     grouped = one.groupBy(*model, *RESIDUE, "ring_no", "size").agg(F.array_sort(F.collect_list(F.struct("place", "atom_id", F.struct("x", "y", "z").alias("p")))).alias("parts"))
     whole = grouped.where(F.size("parts") == F.col("size")).withColumns({"atom_ids": F.col("parts.atom_id"), "points": F.transform("parts", lambda t: t["p"])})
-    measured = whole.withColumns({"center": centroid(F.col("points")), "normal": ring_normal(F.col("points"))})
-    index = F.row_number().over(Window.partitionBy(*model).orderBy(F.col("atom_ids")[0], "ring_no")) - 1
+    measured = whole.select(*model, *RESIDUE, "ring_no", "atom_ids", centroid(F.col("points")).alias("center"), ring_normal(F.col("points")).alias("normal"))
+    if feature is not None:
+        from helixframe.operators.ligands import ligand_rings
+
+        measured = measured.unionByName(ligand_rings(feature, model))
+    index = F.row_number().over(Window.partitionBy(*model).orderBy(F.col("atom_ids")[0], "ring_no", "atom_ids")) - 1
     return measured.select(*model, index.cast("long").alias("ring_id"), *RESIDUE, "atom_ids", "center", "normal", "center.x", "center.y", "center.z", F.lit(True).alias("aromatic"))
 
 
 def charge_groups(feature: DataFrame, model: list[str] = MODEL) -> DataFrame:
-    """(model, group_id, residue, kind, feature, atom_ids, points, first_bonds, x, y, z): charged side chains, phosphates, carboxylates, ions.
+    """(model, group_id, residue, kind, feature, atom_ids, points, first_bonds, x, y, z): charged side chains, phosphates, ions, and of ligands
+    carboxylates, sulfonates, sulfates, guanidines, acetamidines and the nitrogens that hold a metal.
 
     first_bonds holds the ids of the atoms bonded to the group's first.
     """
@@ -303,12 +308,25 @@ def charge_groups(feature: DataFrame, model: list[str] = MODEL) -> DataFrame:
     phosphate = (el == "O") & (F.col("rclass") != "protein") & F.coalesce(F.exists("nbrs", lambda n: n["element"] == "P"), F.lit(False))
     ion = (F.col("rclass") == "other") & (F.coalesce(F.col("formal_charge"), F.lit(0)) > 0)
     center_of = F.filter("nbrs", lambda n: n["element"].isin("P", "C", "S"))[0]["atom_id"]
-    acid_center = (el == "C") & (F.col("rclass") == "other") & (F.size(F.filter("nbrs", lambda n: n["element"] == "O")) == 2) & (F.col("n_heavy") == 3) & (F.col("hyb") == 2)
-    acids = feature.where(acid_center).select(*model, F.explode(F.filter("nbrs", lambda n: n["element"] == "O")["atom_id"]).alias("atom_id"), F.col("atom_id").alias("__center"))
-    marked = feature.join(acids, [*model, "atom_id"], "left")
-    kind = F.when(positive | ion, "positive").when(negative | phosphate | F.col("__center").isNotNull(), "negative")
-    label = F.when(phosphate, "Phosphate").when(F.col("__center").isNotNull() & (F.col("rclass") == "other"), "Carboxylate").otherwise("None")
-    part = F.when(phosphate, center_of).when(F.col("__center").isNotNull(), F.col("__center")).when(ion, F.col("atom_id")).otherwise(F.lit(-1))
+    around = lambda e: F.size(F.filter("nbrs", lambda n: n["element"] == e))
+    ends_in = F.when(  # what a central atom of a ligand makes of its end atoms
+        (el == "C") & (around("O") == 2) & (F.col("n_heavy") == 3) & (F.col("hyb") == 2), "Carboxylate"
+    ).when((el == "S") & (around("O") == 3), "Sulfonate").when((el == "S") & (around("O") == 4), "Sulfate").when(
+        (el == "C") & (F.col("n_heavy") == 3) & (around("N") == 3), "Guanidine"
+    ).when((el == "C") & (F.col("n_heavy") == 3) & (around("N") == 2) & (around("C") == 1) & (F.col("hyb") == 2), "Acetamidine")
+    ends_of = F.when(F.col("__feature").isin("Guanidine", "Acetamidine"), "N").otherwise("O")
+    centers = feature.where(F.col("rclass") == "other").withColumn("__feature", ends_in).where("__feature is not null")
+    ends = centers.select(*model, F.col("atom_id").alias("__center"), "__feature", F.explode("nbrs").alias("n"), ends_of.alias("__end")).where("n.element = __end")
+    acids = ends.groupBy(*model, F.col("n.atom_id").alias("atom_id")).agg(F.min_by(F.struct("__center", "__feature"), "__center").alias("__c")).select(*model, "atom_id", "__c.*")
+    marked = attach(feature, acids, [*model, "atom_id"])
+    metals = feature.where((F.col("rclass") == "other") & el.isin(*METALS_TRANSITION)).select(*model, *RESIDUE).distinct().withColumn("__metal", F.lit(True))
+    marked = marked.join(metals, [*model, *RESIDUE], "left")
+    bare = (el == "N") & (F.col("rclass") == "other") & F.col("__metal") & (F.col("n_heavy") == 2) & (F.col("n_h") + F.col("implicit_h") == 0)  # a nitrogen that gave its proton to hold the metal
+    bare = F.coalesce(bare, F.lit(False))
+    base = F.col("__feature").isin("Guanidine", "Acetamidine")
+    kind = F.when(positive | ion | F.coalesce(base, F.lit(False)), "positive").when(negative | phosphate | bare | F.col("__center").isNotNull(), "negative")
+    label = F.when(phosphate, "Phosphate").otherwise(F.coalesce("__feature", F.lit("None")))
+    part = F.when(phosphate, center_of).when(F.col("__center").isNotNull(), F.col("__center")).when(ion | bare, F.col("atom_id")).otherwise(F.lit(-1))
     rows = marked.withColumns({"kind": kind, "feature": label, "__part": part.cast("long")}).where("kind is not null")
     grouped = rows.groupBy(*model, *RESIDUE, "kind", "feature", "__part").agg(F.array_sort(F.collect_list(F.struct("atom_id", F.struct("x", "y", "z").alias("p"), F.transform("nbrs", lambda n: n["atom_id"]).alias("bonds")))).alias("parts"))
     measured = grouped.withColumns({"first_bonds": F.col("parts")[0]["bonds"], "atom_ids": F.col("parts.atom_id"), "points": F.transform("parts", lambda t: t["p"])}).withColumn("center", centroid(F.col("points")))
