@@ -15,6 +15,7 @@ from helixframe.functions.interactions import TypeSet
 from helixframe.operators import contacts, quality_metrics, shape
 from helixframe.operators.dssp import dssp
 from helixframe.operators.sasa import sasa
+from helixframe.sources.model_atoms import model_atoms, model_bonds
 from helixframe.sources import sinks
 from helixframe.sources.models import ModelStore, extract, read_models
 from helixframe.sources.structures import file_list, read_atoms
@@ -91,9 +92,8 @@ def build(spark: SparkSession, args) -> DataFrame:
         groups = lambda given, default, kind: quality_metrics.parse_groups(given or default, kind)
         plddt, states = groups(args.plddt_group, quality_metrics.DEFAULT_PLDDT, "plddt"), groups(args.dssp_group, quality_metrics.DEFAULT_DSSP, "dssp")
         return quality_metrics.quality_metrics(long_residues(model_input()), ["model_id"], plddt, states, segment_min=args.segment_min)
-    if args.database:
-        raise SystemExit(f"{args.verb} needs structure files")
-    atoms = read_atoms(spark, paths_of(spark, args), extensions, args.recursive).where(F.col("error").isNull())
+    models = model_input("sequence", "coords") if args.database else None
+    atoms = model_atoms(models) if models is not None else read_atoms(spark, paths_of(spark, args), extensions, args.recursive).where(F.col("error").isNull())
     if args.verb == "sasa-sr":
         return sasa(atoms, probe=args.probe, points=args.points)
     if args.verb == "dssp":
@@ -101,7 +101,7 @@ def build(spark: SparkSession, args) -> DataFrame:
     wanted = TypeSet.parse(args.types)
     if wanted is None:
         raise SystemExit(f"unknown interaction type in {args.types!r}")
-    return contacts.contacts(atoms.withColumn("atom_id", F.col("atom_id").cast("long")), args.provider, wanted)
+    return contacts.contacts(atoms.withColumn("atom_id", F.col("atom_id").cast("long")), args.provider, wanted, bond=None if models is None else model_bonds(models))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -111,7 +111,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.verb == "createdb":
         ModelStore(spark, args.output).write(out)
     elif args.verb == "positions":
-        out.write.mode("overwrite").parquet(args.output)
+        sinks.write_files(out, args.output)
     elif args.max_records:
         sinks.sharded_ndjson(out, args.output, args.max_records)
     else:

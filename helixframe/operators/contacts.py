@@ -307,10 +307,11 @@ def getcontacts_pi_stacking(rings: DataFrame, model: list[str] = MODEL) -> DataF
     return ring_contacts(rings, 7.0, _gc_stack, model)
 
 
-def contacts(atoms: DataFrame, provider: str = "molstar", only: TypeSet | None = None, model: list[str] = MODEL) -> DataFrame:
+def contacts(atoms: DataFrame, provider: str = "molstar", only: TypeSet | None = None, model: list[str] = MODEL, bond: DataFrame | None = None) -> DataFrame:
     """(model, lhs, rhs, type, distance_sq) of a provider's rules, or of those whose tag is in `only`.
 
     Rules that aren't asked for are not planned at all. The atoms and the typed atoms are written to the shared folder.
+    bond gives bonds (model, a, b) that are known, as those of predicted models are; without it they are sought.
     """
     if provider not in PROVIDERS:
         raise ValueError(f"one of {', '.join(PROVIDERS)}")
@@ -318,7 +319,7 @@ def contacts(atoms: DataFrame, provider: str = "molstar", only: TypeSet | None =
     chosen = PROVIDERS[provider]
     rules = tuple(r for r in chosen.atoms if wanted(r.type))
     atoms = materialize(atoms, "atoms")
-    feature = typed = materialize(chosen.types(topo.features(atoms, topo.bonds(atoms, model, ends=True), model)), "typed-atoms")
+    feature = typed = materialize(chosen.types(topo.features(atoms, topo.bonds(atoms, model, ends=True) if bond is None else bond, model)), "typed-atoms")
     out = [atom_contacts(typed, rules, model)] if rules else []
     extra = [t for t in OTHER[provider] if wanted(t)]
     rings = topo.rings(atoms, model, feature) if set(extra) - {"Ionic"} else None

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import inspect
 import json
+import os
 import struct
 import sys
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -76,6 +79,31 @@ def positions(models: DataFrame, depth: int = 1) -> DataFrame:
     return models.where(F.size("coords") > 0).select("model_id", "coords").mapInArrow(pack, "path string, content binary")
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes (path, content) rows as files below a folder that all executors mount, and returns how many; a file is replaced as a whole."""
+    from helixframe import on_workers
+
+    spark = files.sparkSession
+    on_workers(spark)
+    local = folder.removeprefix("file://")
+    if "://" in local:
+        raise ValueError("single files go to a mounted folder; write the rows with a DataFrame writer elsewhere")
+
+    def put(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = os.path.join(local, path.lstrip("/"))
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(f"{target}.part", "wb") as f:  # a task that runs again replaces what an earlier one left
+                    f.write(content)
+                os.replace(f"{target}.part", target)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return files.select("path", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def summary(df: DataFrame, path: str) -> dict:
     """The one row of a summary table as a JSON file; returns it."""
     row = df.first().asDict(recursive=True)
@@ -92,19 +120,30 @@ class Pipeline:
 
     def __init__(self, source: DataFrame):
         self.channels: dict[str, DataFrame] = {"source": source}
-        self.sinks: list[tuple[str, Callable[[DataFrame], object]]] = []
+        self.sinks: list[tuple[str, Callable[[DataFrame], object], bool]] = []
+        self.report: list[dict] = []
         self.tasks: list[tuple[str, tuple[str, ...]]] = []
 
-    def add_task(self, name: str, task: Callable[..., DataFrame], depends: tuple[str, ...] = ("source",)) -> Pipeline:
+    def add_task(self, name: str, task: Callable[..., DataFrame], depends: tuple[str, ...] | None = None, requires: tuple[str, ...] = ()) -> Pipeline:
+        """Adds a channel. Without `depends` the task's parameters name its channels; `requires` are columns that the first of them must have."""
+        depends = depends if depends is not None else self._inferred(task)
         missing = [d for d in depends if d not in self.channels]
         if missing or name in self.channels:
             raise ValueError(f"unknown dependency {missing}" if missing else f"channel {name!r} exists")
+        lacking = [c for c in requires if c not in self.channels[depends[0]].columns] if requires else []
+        if lacking:
+            raise ValueError(f"channel {depends[0]!r} has no column {', '.join(lacking)}")
         self.channels[name] = task(*[self.channels[d] for d in depends])
         self.tasks.append((name, depends))
         return self
 
-    def add_item_task(self, name: str, function: Callable[[dict], object], depends: str = "source", key: str = "model_id") -> Pipeline:
-        """A Python function per row; its result is the payload (text as it is, else JSON)."""
+    def _inferred(self, task: Callable) -> tuple[str, ...]:
+        """The channels that a task's parameters name; a single parameter of another name stands for the source."""
+        names = [p.name for p in inspect.signature(task).parameters.values() if p.default is p.empty]
+        return tuple(names) if all(n in self.channels for n in names) and names else ("source",)
+
+    def add_item_task(self, name: str, function: Callable[[dict], object], depends: str = "source", key: str = "model_id", requires: tuple[str, ...] = ()) -> Pipeline:
+        """A Python function per row; its result is the payload (text as it is, else JSON). With `requires` only these columns and the key reach it."""
         def run(batches):
             import pyarrow as pa
 
@@ -119,27 +158,52 @@ class Pipeline:
                         out.append(json.dumps({"error": {"source": name, "message": str(e)}, "path": str(row[key])}))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, pa.string())], [key, "payload"])
 
-        return self.add_task(name, lambda df: df.mapInArrow(run, f"{key} string, payload string"), (depends,))
+        kept = lambda df: df.select(*dict.fromkeys((key, *requires))) if requires else df
+        return self.add_task(name, lambda df: kept(df).mapInArrow(run, f"{key} string, payload string"), (depends,), requires)
 
-    def attach(self, name: str, sink: Callable[[DataFrame], object]) -> Pipeline:
+    def attach(self, name: str, sink: Callable[[DataFrame], object], required: bool = True) -> Pipeline:
+        """A sink of a channel; what an optional one raises is reported and doesn't end the run."""
         if name not in self.channels:
             raise ValueError(f"no channel {name!r}")
-        self.sinks.append((name, sink))
+        self.sinks.append((name, sink, required))
         return self
 
     def describe(self) -> str:
         return "\n".join(f"{name} <- {', '.join(depends)}" for name, depends in self.tasks)
 
     def run(self) -> dict[str, list]:
-        """Runs all sinks; a channel with several is kept between them. Returns the sinks' results by channel."""
+        """Runs all sinks; a channel with several is kept between them. Returns the sinks' results by channel; `report` holds the run's metrics."""
         results: dict[str, list] = {}
-        many = {n for n, _ in self.sinks if sum(m == n for m, _ in self.sinks) > 1}
+        self.report = []
+        names = [n for n, _, _ in self.sinks]
+        many = {n for n in names if names.count(n) > 1}
         for name in many:
             self.channels[name] = self.channels[name].persist()
         try:
-            for name, sink in self.sinks:
-                results.setdefault(name, []).append(sink(self.channels[name]))
+            for name, sink, required in self.sinks:
+                metrics, observed = self._observed(name)
+                start, error = time.perf_counter(), None
+                try:
+                    results.setdefault(name, []).append(sink(observed))
+                except Exception as e:
+                    if required:
+                        raise
+                    error = f"{type(e).__name__}: {e}"
+                    results[name].append(None)
+                self.report.append({"channel": name, "seconds": time.perf_counter() - start, "error": error} | ({} if error else _counts(metrics)))
         finally:
             for name in many:
                 self.channels[name].unpersist()
         return results
+
+    def _observed(self, name: str) -> tuple[Observation, DataFrame]:
+        """A channel that counts its rows, and those with an error, while a sink reads it."""
+        df, metrics = self.channels[name], Observation()
+        bad = F.col("error").isNotNull() if "error" in df.columns else F.col("payload").startswith('{"error"') if "payload" in df.columns else F.lit(False)
+        return metrics, df.observe(metrics, F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(bad, F.lit(False))).alias("failed"))
+
+
+def _counts(metrics: Observation) -> dict:
+    """What an observation saw; nothing if the sink never read the channel, which would block for ever."""
+    jvm = metrics._jo
+    return dict(metrics.get) if jvm is not None and jvm.getOrEmpty().nonEmpty() else {}
