@@ -18,8 +18,8 @@ pairs are some ten of 64 bits apart, and balls that reach them in segments long
 0.9993, above it more), and every candidate is verified on the whole shingle sets. Texts of one set are one
 node. First each band's bucket is a star around one node; then buckets that still hold several components
 give all pairs across them, so the components are those of all candidate pairs, while a large group never
-gives all its pairs. Sizes too far apart, and signatures five standard deviations from SIMILAR, are
-dropped before the sets are read.
+gives all its pairs. Sizes too far apart, and signatures of MINIMA minima that agree in DEVIATIONS standard deviations
+fewer than a pair at SIMILAR does, are dropped before the sets are read (such a pair with probability 0.0002).
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any
 other; with fewer words than the shingle size the whole word sequence is the one shingle; a very long text is read whole,
@@ -41,6 +41,7 @@ from helixframe.llm.common import components, materialize, row_of, row_order, ta
 SEED = 42
 BITS, SEGMENT_BITS, MAX_DISTANCE = 64, 32, 3
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 6
+MINIMA, DIGIT, DEVIATIONS = 384, 4, 3.5  # minima of a signature, bits kept of each, how far below its expectation a pair may agree
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -133,19 +134,19 @@ def shingle_set(text: str | None, size: int = SHINGLE):
 
 
 def _minima(shingles):
-    """The minima of a shingle set under BANDS * ROWS shared random orders."""
+    """The minima of a shingle set under MINIMA shared random orders; the first BANDS * ROWS make the bands."""
     import numpy as np
 
     rng = np.random.default_rng(SEED)
-    factor, shift = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    factor, shift = (rng.integers(0, 1 << 64, MINIMA, dtype=np.uint64) for _ in range(2))
+    least = np.full(MINIMA, (1 << 64) - 1, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):
         least = np.minimum(least, (shingles[at : at + 1024, None] * (factor | np.uint64(1)) + shift).min(axis=0))
     return least
 
 
 def _signature_batches(batches: Iterator, size: int) -> Iterator:
-    """Per text a 128-bit hash of its shingle set, the set's size, a bit of each minimum and the key of each band."""
+    """Per text a 128-bit hash of its shingle set, the set's size, DIGIT bits of each minimum and the key of each band."""
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -157,9 +158,9 @@ def _signature_batches(batches: Iterator, size: int) -> Iterator:
             least = _minima(found)
             nodes.append(xxhash.xxh3_128_digest(found.tobytes(), SEED))
             sizes.append(len(found))
-            mixed = least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)
-            bits.append(np.packbits(np.pad(mixed.astype(np.uint8), (0, -len(mixed) % 64))).view(np.int64).tolist())
-            keys.append([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))])
+            mixed = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - DIGIT)).astype(np.uint8)
+            bits.append((mixed[::2] << DIGIT | mixed[1::2]).view(np.int64).tolist())
+            keys.append([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))])
         signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
         columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(signed(keys).tolist(), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "row_hash", "shingle_set", "size", "bits", "keys"])
@@ -199,12 +200,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("n > 1").drop("n")
     buckets = materialize(placed.join(stars, "key").join(nodes.select("node", "size", "bits"), "node"), "buckets")
 
-    words = -(-BANDS * ROWS // 64)
-    differ = (1 - least) / 2
-    most = int(BANDS * ROWS * differ + 5 * (BANDS * ROWS * differ * (1 - differ)) ** 0.5)
+    differ = (1 - least) * (1 - 2.0**-DIGIT)
+    most = int(MINIMA * differ + DEVIATIONS * (MINIMA * differ * (1 - differ)) ** 0.5)
+
+    def digits_apart(x, y):
+        v = x.bitwiseXOR(y)
+        half = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        return F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(F.lit(0x1111111111111111)))
 
     def fits(a: str, b: str):
-        apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(words)), F.lit(0))
+        apart = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", digits_apart), F.lit(0), lambda s, n: s + n)
         return (F.least(f"{a}.size", f"{b}.size") + 1e-9 >= least * F.greatest(f"{a}.size", f"{b}.size")) & (apart <= most)
 
     def pair(a: str, b: str):
