@@ -95,3 +95,24 @@ def tiles(points: DataFrame, key: str, size: int) -> DataFrame:
     a, c = blocks.alias("a"), blocks.alias("c")
     own = (F.col("a.n") * (F.col("a.n") - 1) / 2).cast("long")
     return a.join(c, F.col("a.b") <= F.col("c.b")).select(F.col("a.b").alias("row_block"), F.col("c.b").alias("col_block"), F.when(F.col("a.b") == F.col("c.b"), own).otherwise(F.col("a.n") * F.col("c.n")).cast("long").alias("n_pairs"))
+
+
+def matrix_blocks(left: DataFrame, right: DataFrame, columns: int = 8192, key: str = "atom_id", squared: bool = False) -> DataFrame:
+    """(i, block, first_j, d): the rows of a distance matrix in blocks of `columns` columns, d holding a block's distances in order of j.
+
+    Columns are numbered by their key's rank; a block is what one row of the result holds, so no row grows with the matrix.
+    """
+    from helixframe.operators.radius import renumber
+
+    ranked = renumber(right.select(F.col(key).alias("__j"), "x", "y", "z"), "__j", "__column")
+    blocks = ranked.groupBy(F.floor(F.col("__column") / columns).alias("block")).agg(F.array_sort(F.collect_list(F.struct("__column", "__j", F.struct("x", "y", "z").alias("p")))).alias("points"))
+    away = lambda t: distance_sq(vec("x", "y", "z"), t["p"]) if squared else F.sqrt(distance_sq(vec("x", "y", "z"), t["p"]))
+    met = left.select(F.col(key).alias("i"), "x", "y", "z").crossJoin(blocks)  # every row by every block, which is the result
+    return met.select("i", "block", F.col("points")[0]["__j"].alias("first_j"), F.transform("points", away).alias("d"))
+
+
+def tiles_across(queries: DataFrame, targets: DataFrame, key: str, rows: int, columns: int) -> DataFrame:
+    """(row_block, col_block, n_pairs) of all blocks of `rows` queries by `columns` targets."""
+    count = lambda df, size: df.groupBy(F.floor(F.col(key) / size).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    a, c = count(queries, rows).alias("a"), count(targets, columns).alias("c")
+    return a.crossJoin(c).select(F.col("a.b").alias("row_block"), F.col("c.b").alias("col_block"), (F.col("a.n") * F.col("c.n")).alias("n_pairs"))  # one narrow row a tile, which is the result

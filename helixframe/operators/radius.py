@@ -20,6 +20,7 @@ ALL = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
 HALF = [o for o in ALL if o >= (0, 0, 0)]
 _BITS = 21
 BRUTE_POINTS = 50_000
+FEW_PAIRS = 5000
 
 
 def _packed(cells: list[Column]) -> Column:
@@ -105,6 +106,31 @@ def neighbour_lists(pairs: DataFrame, sort: bool = True) -> DataFrame:
     return both.groupBy("i").agg((F.array_sort(found) if sort else found).alias("neighbours"))
 
 
+class Neighbours:
+    """Neighbours within a radius of fitted points: of the points themselves, never their own, or of other queries."""
+
+    def __init__(self, radius: float, model: list[str] | None = None, key: str = "atom_id"):
+        self.radius, self.model, self.key = _check(radius), model or [], key
+
+    def fit(self, points: DataFrame) -> Neighbours:
+        self.points = points
+        return self
+
+    def query(self, queries: DataFrame | None = None, sort: bool = True) -> DataFrame:
+        """(i, neighbours array<struct<d, j>>) of every query that has some."""
+        if queries is None:
+            return neighbour_lists(self_join(self.points, self.radius, self.model, self.key), sort)
+        pairs = cross_join(queries, self.points, self.radius, self.model, self.key)
+        found = F.collect_list(F.struct(F.sqrt("distance_sq").alias("d"), "j"))
+        return pairs.groupBy("i").agg((F.array_sort(found) if sort else found).alias("neighbours"))
+
+
+def pairs_within(points: DataFrame, radius: float, key: str = "atom_id") -> DataFrame:
+    """Pairs i < j within the radius: the nested loop where at most FEW_PAIRS candidate pairs exist, else the grid."""
+    n = points.limit(int((2 * FEW_PAIRS) ** 0.5) + 2).count()
+    return brute_force(points, radius, key) if n * (n - 1) // 2 <= FEW_PAIRS else self_join(points, radius, key=key)
+
+
 def _cuts(df: DataFrame, order: str, parts: int) -> Column:
     """The range of a row's key among quantile cuts that travel as a literal."""
     probes = [i / parts for i in range(1, parts)] or [0.5]

@@ -158,3 +158,18 @@ def sasa(atoms: DataFrame, model: list[str] | str | None = None, radius: str | C
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "atom_id"))
     return ordered.mapInArrow(lambda b: _batches(b, keys, probe, points, decimals), f"{schema}, area double, error string")
+
+
+# Radii of the accessibility of secondary structure assignments (Kabsch and Sander 1983), for N, CA, C, O and side chains.
+ACCESS = {"N": 1.65, "CA": 1.87, "C": 1.76, "O": 1.40}
+ACCESS_SIDE, ACCESS_POINTS = 1.80, 401
+
+
+def accessibility(atoms: DataFrame, points: int = ACCESS_POINTS) -> DataFrame:
+    """(model_id, frame, chain, resid, resname, accessibility): the water-accessible area of each residue, by its heavy atoms."""
+    keys = [c for c in ("model_id", "frame") if c in atoms.columns]
+    heavy = atoms.where(~F.upper(F.trim("element")).isin("H", "D"))
+    size = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ACCESS.items() for x in kv]), F.col("name")), F.lit(ACCESS_SIDE))
+    found = sasa(heavy, radius=size, points=points, decimals=None)
+    met = heavy.select(*keys, "atom_id", "chain", "resid", "resname").join(found, [*keys, "atom_id"])
+    return met.groupBy(*keys, "chain", "resid", "resname").agg(F.sum("area").alias("accessibility"))

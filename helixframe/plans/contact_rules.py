@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helixframe.operators import contacts, topology
+from helixframe.operators import contacts, ligands, topology
 from helixframe.operators.sasa import PROBE, sasa
 from helixframe.operators.sasa import VDW as AREA_RADII
 from helixframe.sources.adapters import table
@@ -63,6 +63,13 @@ def surface(spark, d):
     return sasa(atoms, points=SPOTS, decimals=None).select("atom_id", F.round("area", 2).alias("area"))
 
 
+def angles(spark, d):
+    """Angles of the synthetic atoms at the ring with the number before theirs; numbers without a ring give 0."""
+    n = F.col("atom_id")
+    asked = typed_atoms(spark, d).where("atom_id > 0").select((n - 1).alias("ring_id"), n.alias("point"), "x", "y", "z")
+    return ligands.ring_angles(rings(spark, d), asked, []).select("point", "ring_id", F.round("angle", 5).alias("angle"))
+
+
 def _rounded(df):
     return df.select("lhs", "rhs", "type", F.round("distance_sq", 6).alias("d2"))
 
@@ -292,6 +299,7 @@ QUERIES |= {
     "m7_molstar_cationpi": (_molstar_cation, _over_ring_sql("CationPi", "a.n % 4 = 0", f"NOT {SAME} AND {_offset('a', 'b', 'b.nrm')} <= 2.0", True)),
     "m8_molstar_ionic": (_ionic, _IONIC),
     "r18_sasa_points": (surface, _SURFACE),
+    "t16_ring_angles": (angles, f"WITH {ATOMS}, {RINGS} SELECT b.n AS point, b.n - 1 AS ring_id, round(coalesce({_angle(_minus('b', 'a'), tuple(f'a.nrm.{c}' for c in 'xyz'))}, 0.0), 5) AS angle FROM ato b LEFT JOIN rng a ON a.n = b.n - 1 WHERE b.n > 0"),
     "a10_arpeggio_donorpi": (_over_ring("DonorPi"), _over_ring_sql("DonorPi", f"{_type('a', 'HbondDonor')} AND {_PLAIN}", f"{D2} <= 20.25 AND {_TILT} <= 30.0")),
     "a11_arpeggio_sulphurpi": (_over_ring("SulphurPi"), _over_ring_sql("SulphurPi", "a.el = 'S' AND a.resname = 'MET'", "true")),
     "a12_arpeggio_carbonpi": (_over_ring("CarbonPi"), _over_ring_sql("CarbonPi", f"a.el = 'C' AND {_type('a', 'WeakHbondDonor')} AND {_PLAIN}", f"{D2} <= 20.25 AND {_TILT} <= 30.0")),

@@ -93,6 +93,26 @@ def tiling(spark, d):
     return distances.tiles(points(spark, d), "atom_id", 64)
 
 
+def tiling_across(spark, d):
+    """Blocks of queries by blocks of targets."""
+    p = points(spark, d)
+    return distances.tiles_across(p.where("chain < '5'"), p, "atom_id", 32, 128)
+
+
+def matrix(spark, d):
+    """The distance matrix of every STEP-th point in blocks of 64 columns, each block summed up."""
+    p = points(spark, d)
+    m = distances.matrix_blocks(p.where(F.col("atom_id") % STEP == 0), p, 64)
+    return m.select("i", "block", "first_j", F.size("d").cast("long").alias("n"), F.round(F.aggregate("d", F.lit(0.0), lambda s, x: s + x), 4).alias("sum_d"), F.round(F.col("d")[0], 6).alias("first_d"))
+
+
+def fitted(spark, d):
+    """Neighbours that points of some chains have among the points of others."""
+    p = points(spark, d)
+    found = radius.Neighbours(RADIUS).fit(p.where("chain >= '5'")).query(p.where("chain < '5'"))
+    return found.select("i", F.size("neighbours").cast("long").alias("n"), F.col("neighbours")[0]["j"].alias("nearest"), F.round(F.col("neighbours")[0]["d"], 6).alias("d"))
+
+
 def cdist(spark, d):
     p = points(spark, d)
     return distances.cdist(p.where(F.col("atom_id") % STEP == 0), p).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d"), 4).alias("sum_d"), F.round(F.max("d"), 6).alias("max_d"))
@@ -201,6 +221,9 @@ QUERIES = {
     "j11_csr": (csr, f"WITH {PAIRS_SQL}, bth AS (SELECT i FROM prs UNION ALL SELECT j FROM prs), cnt AS (SELECT p.atom_id AS i, count(b.i) AS n FROM pts p LEFT JOIN bth b ON b.i = p.atom_id GROUP BY 1) SELECT i, n, (sum(n) OVER (ORDER BY i) - n)::BIGINT AS indptr FROM cnt"),
     "j12_resolve": (resolve, f"""WITH {PAIRS_SQL} SELECT concat_ws('-', i, 'C' || (i % 4), ra, printf('R%02d', i % 20), ca) AS label_i, concat_ws('-', j, 'C' || (j % 4), rb, printf('R%02d', j % 20), cb) AS label_j, round(d2, 6) AS d2 FROM prs WHERE d2 <= {RADIUS * RADIUS / 4}"""),
     "j13_tiling": (tiling, f"WITH {POINTS_SQL}, blk AS (SELECT atom_id // 64 AS b, count(*) AS n FROM pts GROUP BY 1) SELECT a.b AS row_block, c.b AS col_block, (CASE WHEN a.b = c.b THEN a.n * (a.n - 1) // 2 ELSE a.n * c.n END)::BIGINT AS n_pairs FROM blk a JOIN blk c ON a.b <= c.b"),
+    "j10_fitted_neighbours": (fitted, f"WITH {POINTS_SQL}, m AS (SELECT a.atom_id AS i, b.atom_id AS j, sqrt({D2}) AS d FROM pts a JOIN pts b ON a.chain < '5' AND b.chain >= '5' AND {D2} <= {RADIUS * RADIUS}), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r, count(*) OVER (PARTITION BY i) AS n FROM m) SELECT i, n, j AS nearest, round(d, 6) AS d FROM r WHERE r = 1"),
+    "j13_tiling_across": (tiling_across, f"WITH {POINTS_SQL}, q AS (SELECT atom_id // 32 AS b, count(*) AS n FROM pts WHERE chain < '5' GROUP BY 1), t AS (SELECT atom_id // 128 AS b, count(*) AS n FROM pts GROUP BY 1) SELECT q.b AS row_block, t.b AS col_block, (q.n * t.n)::BIGINT AS n_pairs FROM q, t"),
+    "d5_matrix_blocks": (matrix, f"WITH {POINTS_SQL}, c AS (SELECT *, row_number() OVER (ORDER BY atom_id) - 1 AS col FROM pts) SELECT a.atom_id AS i, b.col // 64 AS block, min(b.atom_id) AS first_j, count(*) AS n, round(sum(sqrt({D2})), 4) AS sum_d, round(arg_min(sqrt({D2}), b.col), 6) AS first_d FROM pts a, c b WHERE a.atom_id % {STEP} = 0 GROUP BY 1, 2"),
     "d1_point_distance": (point_distance, f"WITH {POINTS_SQL} SELECT atom_id, round(sqrt((x-1)*(x-1)+(y-2)*(y-2)+(z-3)*(z-3)), 6) AS d FROM pts"),
     "d2_cdist": (cdist, f"WITH {POINTS_SQL} SELECT a.atom_id AS i, count(*) AS n, round(sum(sqrt({D2})), 4) AS sum_d, round(max(sqrt({D2})), 6) AS max_d FROM pts a, pts b WHERE a.atom_id % {STEP} = 0 GROUP BY 1"),
     "d3_pdist": (pdist, f"WITH {POINTS_SQL} SELECT a.chain, count(*) AS n, round(sum(sqrt({D2})), 4) AS sum_d FROM pts a JOIN pts b ON a.chain = b.chain AND a.atom_id < b.atom_id GROUP BY 1"),
