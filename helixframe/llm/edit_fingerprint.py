@@ -318,15 +318,18 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return ordered.mapInArrow(_neighbour_batches, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def bands(fp: str = "fingerprint"):
-    """Array of (band, key): the digits of BAND_DIGITS samples of one walk, from the fingerprint's hex digits."""
+def bands(bits: str = "bits"):
+    """Array of keys: the hash of BAND_DIGITS samples of one walk, masked in the fingerprint's longs, and of the band's number."""
     import numpy as np
 
     rng = np.random.default_rng(SEED + 2)
-    keys = []
+    longs, keys = SAMPLES * DIGIT // 64, []
     for band in range(WALKS * BANDS):
-        digits = np.sort(rng.choice(SAMPLES, BAND_DIGITS, replace=False)) + band // BANDS * SAMPLES
-        keys.append(F.struct(F.lit(band).alias("band"), F.concat(*[F.substring(fp, int(d) + 1, 1) for d in digits]).alias("key")))
+        masks = [0] * longs
+        for digit in rng.choice(SAMPLES, BAND_DIGITS, replace=False).tolist():
+            masks[digit // 16] |= 15 << 60 - 4 * (digit % 16)
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        keys.append(F.xxhash64(F.lit(band), *[F.col(bits)[band // BANDS * longs + k].bitwiseAND(F.lit(m).cast("long")) for k, m in enumerate(signed)]))
     return F.array(*keys)
 
 
@@ -354,11 +357,11 @@ def _near(a: str, b: str, least: float):
 def near_ids(fingerprints: DataFrame, id_col: str = "id", least: float = NEAR) -> DataFrame:
     """(fingerprint, near_id) of each distinct fingerprint: near_id is the smallest id of the group of verified links at likeness `least` or more in some walk."""
     grouped = fingerprints.groupBy("fingerprint").agg(F.min(id_col).alias("rep"))
-    nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "edit-nodes")  # the written numbers are the nodes
-    placed = nodes.select("node", F.explode(bands()).alias("b")).select("node", F.xxhash64("b.band", "b.key").alias("key"))
+    nodes = materialize(grouped.select("fingerprint", "rep", F.monotonically_increasing_id().alias("node"), _words("fingerprint").alias("bits")), "edit-nodes")  # the written numbers are the nodes
+    placed = nodes.select("node", F.explode(bands()).alias("key"))
     stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("n > 1").drop("n")
     buckets = materialize(placed.join(stars, "key"), "edit-buckets")
-    bits = nodes.select("node", _words("fingerprint").alias("bits"))
+    bits = nodes.select("node", "bits")
 
     spokes = buckets.where("node <> centre").select("node", "centre").distinct().join(bits, "node").alias("m")
     links_1 = materialize(spokes.join(bits.alias("c"), (F.col("m.centre") == F.col("c.node")) & _near("m", "c", least)).select(F.col("m.node").alias("a"), F.col("m.centre").alias("b")), "edit-links")
