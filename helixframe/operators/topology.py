@@ -86,10 +86,12 @@ def residues(atoms: DataFrame, model: list[str] = MODEL) -> DataFrame:
 
 
 def factorize(rows: DataFrame, keys: list[str], order: str, model: list[str] | None = None, name: str = "factor") -> DataFrame:
-    """rows with a dense first-seen number of their key, per model."""
+    """rows with a dense first-seen number of their key, per model; without models the keys are numbered in ranges, not in one task."""
     model = model or []
     firsts = rows.groupBy(*model, *keys).agg(F.min(order).alias("__first"))
-    window = Window.partitionBy(*(model or [F.lit(0)])).orderBy("__first")
+    if not model:
+        return rows.join(radius.renumber(firsts, "__first", name).drop("__first"), keys)
+    window = Window.partitionBy(*model).orderBy("__first")
     return rows.join(firsts.withColumn(name, F.row_number().over(window) - 1).drop("__first"), [*model, *keys])
 
 

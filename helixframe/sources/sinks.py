@@ -9,6 +9,7 @@ import struct
 import sys
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -79,6 +80,48 @@ def positions(models: DataFrame, depth: int = 1) -> DataFrame:
     return models.where(F.size("coords") > 0).select("model_id", "coords").mapInArrow(pack, "path string, content binary")
 
 
+def contact_text(contacts: DataFrame) -> DataFrame:
+    """(payload): one line a contact with both labels, type and distance; contacts have label_l and label_r."""
+    return contacts.select(F.format_string("%s %s %s %.4f", "label_l", "label_r", "type", F.sqrt("distance_sq")).alias("payload"))
+
+
+def contact_rows(contacts: DataFrame) -> DataFrame:
+    """(payload): a JSON object a contact, in full."""
+    return contacts.select(F.to_json(F.struct(*contacts.columns)).alias("payload"))
+
+
+def decode_contacts(spark, paths: str | list[str]) -> DataFrame:
+    """Contacts that were written in columns (Parquet) or as JSON rows, read back in parallel as columns."""
+    first = paths if isinstance(paths, str) else paths[0]
+    if first.rstrip("/").endswith((".json", ".ndjson", ".jsonl")):
+        return spark.read.schema("model_id string, frame int, lhs long, rhs long, type string, distance_sq double").json(paths)
+    return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+
+
+@dataclass
+class Options:
+    """What a pipeline's structural tasks take from its user: whether topology is derived, by which typing, and whether items are predicted models."""
+
+    typing: str = "molstar"
+    topology: bool = True
+    models: bool = False
+
+    def __post_init__(self):
+        from helixframe.operators.contacts import PROVIDERS
+
+        if self.typing not in PROVIDERS:
+            raise ValueError(f"typing is one of {', '.join(PROVIDERS)}")
+
+    def contacts(self, source: DataFrame, only=None) -> DataFrame:
+        """Contacts of a channel of atoms, or of models, with these options."""
+        from helixframe.operators.contacts import contacts
+        from helixframe.sources.model_atoms import model_atoms, model_bonds
+
+        if not self.topology:
+            raise ValueError("contacts need the topology")
+        return contacts(model_atoms(source), self.typing, only, bond=model_bonds(source)) if self.models else contacts(source, self.typing, only)
+
+
 def write_files(files: DataFrame, folder: str) -> int:
     """Writes (path, content) rows as files below a folder that all executors mount, and returns how many; a file is replaced as a whole."""
     from helixframe import on_workers

@@ -7,6 +7,7 @@ batches on the executors. A file that can't be parsed becomes one row with its e
 from __future__ import annotations
 
 import gzip
+import json
 import re
 from collections.abc import Iterator
 
@@ -67,9 +68,63 @@ def cif_categories(text: str) -> dict[str, dict[str, list[str]]]:
     return out
 
 
+def json_categories(text: str) -> dict[str, dict[str, list[str]]]:
+    """The categories of an mmJSON text: one data block of columns; null and missing values are empty, as in mmCIF."""
+    data = json.loads(text)
+    block = next((v for k, v in data.items() if k.startswith("data_")), None)
+    if block is None:
+        raise ValueError("no data block")
+    plain = lambda v: "" if v is None else str(v)
+    return {f"_{c.lower().lstrip('_')}": {i.lower(): [plain(v) for v in values] for i, values in items.items()} for c, items in block.items()}
+
+
+def parse_mmjson(text: str) -> list[dict]:
+    return atom_rows(json_categories(text))
+
+
+def parse_component(text: str) -> list[dict]:
+    """Atom rows of a chemical component: its ideal coordinates, or the model's where they are missing; bonds come from `component_bonds`."""
+    atoms = cif_categories(text).get("_chem_comp_atom")
+    if not atoms:
+        raise ValueError("no _chem_comp_atom category")
+    number = lambda v: float(v) if v not in ("", "?", ".") else None
+    rows = []
+    for i, name in enumerate(atoms["atom_id"]):
+        ideal, model = ([number(atoms[k % c][i]) if k % c in atoms else None for c in "xyz"] for k in ("pdbx_model_cartn_%s_ideal", "model_cartn_%s"))
+        place = ideal if None not in ideal else model
+        if None in place:
+            raise ValueError(f"atom {name} has no coordinates")
+        rows.append({
+            "frame": 0, "atom_id": i, "element": atoms["type_symbol"][i].capitalize(), "name": name, "resname": atoms["comp_id"][i], "resid": 1, "chain": "A", "altloc": "", "is_het": True, "formal_charge": int(atoms.get("charge", [""] * (i + 1))[i] or 0),
+            "occupancy": 1.0, "b_factor": 0.0, "auth_resid": 1, "label_chain": "A", "label_resname": atoms["comp_id"][i], "x": place[0], "y": place[1], "z": place[2],
+        })
+    return rows
+
+
+# Bond orders of chemical components.
+ORDERS = {"SING": 1, "DOUB": 2, "TRIP": 3, "AROM": 4}
+
+
+def component_bonds(text: str) -> list[dict]:
+    """Bonds of a chemical component: places of its atoms, order and whether it is aromatic."""
+    cats = cif_categories(text)
+    at = {name: i for i, name in enumerate(cats["_chem_comp_atom"]["atom_id"])}
+    found = cats.get("_chem_comp_bond")
+    if not found:
+        return []
+    flags = found.get("pdbx_aromatic_flag", ["N"] * len(found["atom_id_1"]))
+    return [{"a": at[a], "b": at[b], "order": ORDERS.get(o.upper(), 1), "aromatic": f == "Y"} for a, b, o, f in zip(found["atom_id_1"], found["atom_id_2"], found["value_order"], flags, strict=True)]
+
+
 def parse_mmcif(text: str) -> list[dict]:
+    """Atom rows of coordinates, or of a chemical component where there are none."""
+    cats = cif_categories(text)
+    return atom_rows(cats) if "_atom_site" in cats or "_chem_comp_atom" not in cats else parse_component(text)
+
+
+def atom_rows(categories: dict) -> list[dict]:
     """Atom rows. Author names are preferred for chain, residue and atom; residue numbers are label_seq_id where present."""
-    site = cif_categories(text).get("_atom_site")
+    site = categories.get("_atom_site")
     if not site:
         raise ValueError("no _atom_site category")
     n = len(site["cartn_x"])
@@ -163,7 +218,7 @@ def parse_gro(text: str) -> list[dict]:
     return rows
 
 
-PARSERS = {".cif": parse_mmcif, ".mmcif": parse_mmcif, ".pdb": parse_pdb, ".ent": parse_pdb, ".gro": parse_gro}
+PARSERS = {".cif": parse_mmcif, ".mmcif": parse_mmcif, ".json": parse_mmjson, ".mmjson": parse_mmjson, ".pdb": parse_pdb, ".ent": parse_pdb, ".gro": parse_gro}
 
 
 def parser_of(path: str, all_models: bool = False):
@@ -193,8 +248,8 @@ def _atom_batches(batches: Iterator, all_models: bool) -> Iterator:
 
 
 def scan(spark: SparkSession, paths: str | list[str], extensions: list[str] | None = None, recursive: bool = False) -> DataFrame:
-    """(path, content) of files; extensions filter by the end of the name, an empty one matches all."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    """(path, content) of files; extensions filter by the end of the name, an empty one matches all. Files that vanish or can't be read are passed over."""
+    reader = spark.read.format("binaryFile").options(recursiveFileLookup=str(recursive).lower(), ignoreMissingFiles="true", ignoreCorruptFiles="true")
     found = reader.load(paths)
     wanted = sorted(set(extensions or []))
     if wanted and "" not in wanted:

@@ -6,7 +6,7 @@ files per trigger. Topology is small and static against frames: a stream-static
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +63,34 @@ def running_contacts(contacts: DataFrame) -> DataFrame:
     return kept.groupBy("model_id").applyInPandasWithState(update, "model_id string, n_contacts long, nearest_sq double", "n long, nearest double", "update", GroupStateTimeout.NoTimeout)
 
 
+def deliver(df: DataFrame, sinks: list[tuple[Callable[[DataFrame, int], object], bool]], checkpoint: str, timeout: float | None = 60.0, failures: list | None = None) -> bool:
+    """Gives each micro-batch to all sinks, (function of batch and its number, required); whether all that had arrived was done in time.
+
+    What an optional sink raises is put into `failures`; a required one ends the query, and the batch comes again from the
+    checkpoint, so sinks should write by batch number. After `timeout` seconds the query is stopped between batches.
+    """
+    def give(batch: DataFrame, number: int) -> None:
+        kept = batch.persist() if len(sinks) > 1 else batch
+        try:
+            for sink, required in sinks:
+                try:
+                    sink(kept, number)
+                except Exception as e:
+                    if required:
+                        raise
+                    if failures is not None:
+                        failures.append((number, f"{type(e).__name__}: {e}"))
+        finally:
+            if len(sinks) > 1:
+                kept.unpersist()
+
+    query = df.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    done = query.awaitTermination(timeout) if timeout is not None else (query.awaitTermination() or True)
+    if not done:
+        query.stop()
+    return bool(done)
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
     """Processes what has arrived into an in-memory table and stops."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -131,3 +131,50 @@ def test_files_are_written_whole(spark, tmp_path):
     path = os.path.join(tmp_path, sinks.positions_path("m", 2))
     assert os.path.getsize(path) == 12 * m.select(F.size("coords")).first()[0]
     assert json.dumps(os.listdir(os.path.dirname(path))) == '["m.bin"]'
+
+
+def test_mmjson_and_components(spark, tmp_path):
+    from helixframe.sources import structures
+
+    site = {"group_PDB": ["ATOM", "HETATM"], "type_symbol": ["N", "O"], "label_atom_id": ["N", "O"], "label_alt_id": [None, None], "label_comp_id": ["ALA", "HOH"], "label_asym_id": ["A", "B"], "label_seq_id": [1, None], "auth_seq_id": [1, 7], "Cartn_x": [1.0, 2.0], "Cartn_y": [0.5, 1.5], "Cartn_z": [0, 3]}
+    (tmp_path / "a.json").write_text(json.dumps({"data_X": {"atom_site": site}}))
+    component = "data_LIG\nloop_\n_chem_comp_atom.comp_id\n_chem_comp_atom.atom_id\n_chem_comp_atom.type_symbol\n_chem_comp_atom.charge\n_chem_comp_atom.model_Cartn_x\n_chem_comp_atom.model_Cartn_y\n_chem_comp_atom.model_Cartn_z\n_chem_comp_atom.pdbx_model_Cartn_x_ideal\n_chem_comp_atom.pdbx_model_Cartn_y_ideal\n_chem_comp_atom.pdbx_model_Cartn_z_ideal\nLIG C1 C 0 1 2 3 0.1 0.2 0.3\nLIG N1 N 1 4 5 6 ? ? ?\n#\nloop_\n_chem_comp_bond.comp_id\n_chem_comp_bond.atom_id_1\n_chem_comp_bond.atom_id_2\n_chem_comp_bond.value_order\n_chem_comp_bond.pdbx_aromatic_flag\nLIG C1 N1 DOUB N\n#\n"
+    (tmp_path / "l.cif").write_text(component)
+    found = {os.path.basename(r.model_id): [] for r in structures.read_atoms(spark, str(tmp_path)).collect()}
+    for r in structures.read_atoms(spark, str(tmp_path)).collect():
+        found[os.path.basename(r.model_id)].append((r.name, r.resname, r.x, r.formal_charge, r.error))
+    assert found == {"a.json": [("N", "ALA", 1.0, 0, None), ("O", "HOH", 2.0, 0, None)], "l.cif": [("C1", "LIG", 0.1, 0, None), ("N1", "LIG", 4.0, 1, None)]}
+    assert structures.component_bonds(component) == [{"a": 0, "b": 1, "order": 2, "aromatic": False}]
+
+
+def test_stream_delivery_with_optional_sinks(spark, tmp_path):
+    from helixframe.streaming import streams
+
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    got, failures = [], []
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    assert streams.deliver(stream, [(lambda b, n: got.append(b.count()), True), (lambda b, n: 1 / 0, False)], f"{tmp_path}/check", 120, failures)
+    assert sum(got) == 5 and all("ZeroDivision" in f for _, f in failures) and failures
+
+
+def test_options_text_and_decoding(spark, tmp_path):
+    m = model(spark).where("model_id = 'm'")
+    found = sinks.Options(models=True).contacts(m)
+    assert found.count() == sinks.Options().contacts(ma.model_atoms(m)).count()
+    for bad in (lambda: sinks.Options(typing="none"), lambda: sinks.Options(topology=False).contacts(m)):
+        with pytest.raises(ValueError):
+            bad()
+    rows = spark.createDataFrame([("m", 0, 1, 2, "Ionic", 4.0)], "model_id string, frame int, lhs long, rhs long, type string, distance_sq double")
+    sinks.contact_rows(rows).write.text(f"{tmp_path}/c.ndjson")
+    rows.write.parquet(f"{tmp_path}/c")
+    assert sinks.decode_contacts(spark, f"{tmp_path}/c.ndjson").collect() == sinks.decode_contacts(spark, [f"{tmp_path}/c"]).collect() == rows.collect()
+    labelled = rows.withColumns({"label_l": F.lit("1-N"), "label_r": F.lit("2-O")})
+    assert sinks.contact_text(labelled).first().payload == "1-N 2-O Ionic 2.0000"
+
+
+def test_accessibility_sums_areas_of_residues(spark):
+    from helixframe.operators.sasa import accessibility
+
+    a = spark.createDataFrame([tuple(r.values()) for r in peptides.rows("m", "AGA")], peptides.ATOMS)
+    found = {r.resid: r.accessibility for r in accessibility(a, 64).collect()}
+    assert set(found) == {1, 2, 3} and min(found.values()) > 20 and found[2] < max(found[1], found[3])
