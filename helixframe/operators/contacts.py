@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe import on_workers
 from helixframe.functions.geometry import acute, distance_sq, let, out_of_plane, plane_offset, sub, vector_angle
 from helixframe.functions.interactions import TypeSet, entity_id
 from helixframe.operators import radius
@@ -318,8 +319,9 @@ def contacts(atoms: DataFrame, provider: str = "molstar", only: TypeSet | None =
     wanted = lambda name: only is None or name in only
     chosen = PROVIDERS[provider]
     rules = tuple(r for r in chosen.atoms if wanted(r.type))
+    on_workers(atoms.sparkSession)
     atoms = materialize(atoms, "atoms")
-    feature = typed = materialize(chosen.types(topo.features(atoms, topo.bonds(atoms, model, ends=True) if bond is None else bond, model)), "typed-atoms")
+    feature = typed = materialize(chosen.types(topo.features(atoms, bond, model)), "typed-atoms")
     out = [atom_contacts(typed, rules, model)] if rules else []
     extra = [t for t in OTHER[provider] if wanted(t)]
     rings = topo.rings(atoms, model, feature) if set(extra) - {"Ionic"} else None

@@ -38,6 +38,23 @@ def whole_groups(batches: Iterator, keys: list[str], most: int = 1 << 16) -> Ite
         yield table, group_numbers(table, keys)
 
 
+def in_blocks(rows, keys: list[str], halo: float, width: float):
+    """rows dealt to blocks of space, each with the points within `halo` around it: adds block and own (whether the block is the point's own).
+
+    Sorted by keys, block and atom_id within partitions, ready for `whole_groups`.
+    """
+    from pyspark.sql import functions as F
+
+    wide = max(width, 2 * halo)
+    of = lambda c, by: F.floor((F.col(c) + by) / wide).cast("long")
+    spread = rows
+    for c in "xyz":
+        spread = spread.withColumn(f"b{c}", F.explode(F.sequence(of(c, -halo), of(c, halo))))
+    own = (F.col("bx") == of("x", 0)) & (F.col("by") == of("y", 0)) & (F.col("bz") == of("z", 0))
+    dealt = spread.select(*rows.columns, F.concat_ws(",", "bx", "by", "bz").alias("block"), own.alias("own"))
+    return dealt.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "atom_id")
+
+
 class Grid:
     """Points of several groups in cubes as wide as the reach, sorted by group and cube."""
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.interactions import contact_label
-from helixframe.operators.kernels import Grid, whole_groups
+from helixframe.operators.kernels import Grid, in_blocks, whole_groups
 
 PROBE, POINTS = 1.4, 100
 BLOCK, TOGETHER = 48.0, 2048  # width of a block; atoms whose points are tested together
@@ -147,14 +147,7 @@ def sasa(atoms: DataFrame, model: list[str] | str | None = None, radius: str | C
     altloc = F.coalesce("altloc", F.lit("")) if "altloc" in atoms.columns else F.lit("")
     rows = atoms.select(*keys, "atom_id", *[F.col(c).cast("double").alias(c) for c in "xyz"], size.cast("double").alias("radius"), altloc.alias("altloc"))
     largest = max(VDW.values()) if radius is None else rows.agg(F.max(F.when((F.col("radius") >= 0) & (F.col("radius") < float("inf")), F.col("radius")))).first()[0] or 0.0
-    halo, wide = 2 * (largest + probe), max(BLOCK, 4 * (largest + probe))
-    of = lambda c, by: F.floor((F.col(c) + by) / wide).cast("long")
-    spread = rows
-    for c in "xyz":
-        spread = spread.withColumn(f"b{c}", F.explode(F.sequence(of(c, -halo), of(c, halo))))
-    own = (F.col("bx") == of("x", 0)) & (F.col("by") == of("y", 0)) & (F.col("bz") == of("z", 0))
-    dealt = spread.select(*keys, F.concat_ws(",", "bx", "by", "bz").alias("block"), "atom_id", *"xyz", "radius", "altloc", own.alias("own"))
-    ordered = dealt.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "atom_id")
+    ordered = in_blocks(rows, keys, 2 * (largest + probe), BLOCK)
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "atom_id"))
     return ordered.mapInArrow(lambda b: _batches(b, keys, probe, points, decimals), f"{schema}, area double, error string")

@@ -7,12 +7,15 @@ other residues are judged by elements, neighbour counts and bond lengths.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.geometry import centroid, ring_normal
 from helixframe.operators import radius
 from helixframe.operators.contact_set import altloc_compatible
+from helixframe.operators.kernels import Grid, in_blocks, whole_groups
 
 MODEL = ["model_id", "frame"]
 RESIDUE = ["chain", "resid", "resname"]
@@ -27,6 +30,7 @@ TYPES = {
 COVALENT = {"H": 0.31, "D": 0.31, "B": 0.84, "C": 0.76, "N": 0.71, "O": 0.66, "F": 0.57, "SI": 1.11, "P": 1.07, "S": 1.05, "CL": 1.02, "SE": 1.20, "BR": 1.20, "I": 1.39}
 VDW = {"H": 1.2, "D": 1.2, "B": 1.92, "C": 1.7, "N": 1.55, "O": 1.52, "F": 1.47, "SI": 2.1, "P": 1.8, "S": 1.8, "CL": 1.75, "SE": 1.9, "BR": 1.85, "I": 1.98}
 BOND_SLACK, BOND_REACH = 0.45, 3.3
+BLOCK = 40.0  # width of the blocks of space in which bonds are sought
 
 # Element groups.
 METALS_IONIC = ("LI", "NA", "K", "RB", "CS", "MG", "CA", "SR", "BA", "AL", "GA", "IN", "TL", "SC", "SN", "PB", "BI", "SB", "HG")
@@ -120,6 +124,42 @@ def neighbours(atoms: DataFrame, bond: DataFrame, model: list[str] = MODEL) -> D
     return both.groupBy(*model, F.col("u").alias("atom_id")).agg(F.array_sort(F.collect_list("v")).alias("nbrs"))
 
 
+def _bonded_batches(batches: Iterator, keys: list[str]) -> Iterator:
+    """(keys, atom_id, nbrs) of the blocks' own atoms that have bonds."""
+    import numpy as np
+    import pyarrow as pa
+
+    for table, group in whole_groups(batches, [*keys, "block"]):
+        column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        xyz, cov, h = np.stack([column(c) for c in "xyz"], axis=1), column("cov"), column("h")
+        altloc = table.column("altloc").combine_chunks().dictionary_encode().indices.to_numpy()
+        empty = column("altloc").astype(str) == ""
+        atom = column("atom_id")
+        own = np.flatnonzero(column("own"))
+        if not len(own):
+            continue
+        i, j, d2 = Grid(xyz, group, BOND_REACH).pairs(own)
+        a = own[i]
+        keep = (d2 <= (cov[a] + cov[j] + BOND_SLACK) ** 2) & ~(h[a] & h[j]) & (empty[a] | empty[j] | (altloc[a] == altloc[j]))
+        i, j = i[keep], j[keep]
+        order = np.lexsort((atom[j], i))
+        i, j = i[order], j[order]
+        who, counts = np.unique(i, return_counts=True)
+        ends = pa.StructArray.from_arrays([table.column(c).combine_chunks().take(pa.array(j)) for c in ("atom_id", "element", "x", "y", "z")], ["atom_id", "element", "x", "y", "z"])
+        nbrs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), ends)
+        kept = table.select([*keys, "atom_id"]).take(pa.array(own[who])).combine_chunks()
+        yield from kept.append_column("nbrs", nbrs).to_batches()
+
+
+def near_atoms(atoms: DataFrame, model: list[str] = MODEL) -> DataFrame:
+    """What `neighbours` gives for the bonds by distance, found for blocks of space on a grid: atoms move once, with a thin halo."""
+    part = atoms.select(*model, F.col("atom_id").cast("long").alias("atom_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.coalesce("altloc", F.lit("")).alias("altloc"), upper_element().alias("element"), lookup(COVALENT, upper_element()).alias("cov"), upper_element().isin("H", "D").alias("h"))
+    kinds = dict(part.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*model, "atom_id"))
+    dealt = in_blocks(part.where("cov is not null"), model, BOND_REACH, BLOCK)
+    return dealt.mapInArrow(lambda b: _bonded_batches(b, model), f"{schema}, nbrs array<struct<atom_id: long, element: string, x: double, y: double, z: double>>")
+
+
 def attach(rows: DataFrame, more: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """rows with the further columns of more, which has one row per key; an equi-join by one number."""
     a, b = radius.keyed_by(rows, on).alias("a"), radius.keyed_by(more, on).alias("b")
@@ -131,13 +171,13 @@ def _named(table: dict) -> Column:
     return F.concat_ws(":", "resname", "name").isin(*[f"{r}:{n}" for r, names in table.items() for n in names])
 
 
-def features(atoms: DataFrame, bond: DataFrame, model: list[str] = MODEL) -> DataFrame:
+def features(atoms: DataFrame, bond: DataFrame | None = None, model: list[str] = MODEL) -> DataFrame:
     """atoms with nbrs, second, el, n_heavy, n_h (explicit), implicit_h, hyb (1 SP, 2 SP2, 3 SP3), rclass.
 
-    second is, for an atom with one heavy neighbour, a further heavy neighbour of that one: with it such an
+    Without bonds they are found by distance. second is, for an atom with one heavy neighbour, a further heavy neighbour of that one: with it such an
     atom has a plane.
     """
-    near = neighbours(atoms, bond, model)
+    near = near_atoms(atoms, model) if bond is None else neighbours(atoms, bond, model)
     heavy = lambda n: ~n["element"].isin("H", "D")
     ends = near.where(F.size(F.filter("nbrs", heavy)) == 1).select(*model, "atom_id", F.filter("nbrs", heavy)[0]["atom_id"].alias("__of"))
     beyond = attach(ends, near.withColumnsRenamed({"atom_id": "__of", "nbrs": "__nbrs"}), [*model, "__of"], "inner")

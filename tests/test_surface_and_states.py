@@ -107,3 +107,11 @@ def test_explicit_hydrogens_count_in_their_scope(spark):
     both = with_h.unionByName(other)
     found = topology.features(both, topology.bonds(both, ends=True)).where("name = 'N'").collect()
     assert {(r.chain, r.implicit_h > 0) for r in found} == {("A", False), ("B", True)}
+
+
+def test_near_atoms_equal_the_join(spark):
+    rows = [tuple((r | {"altloc": "A" if r["atom_id"] % 11 == 3 else "B" if r["atom_id"] % 11 == 4 else "", "element": "H" if r["atom_id"] % 7 == 5 else "Zn" if r["atom_id"] == 8 else r["element"]}).values()) for r in peptides.rows("m", "ACDEFGHIKLMNPQRSTVWY" * 6, (-120.0, 130.0))]
+    a = spark.createDataFrame(rows, peptides.ATOMS).repartition(5)
+    key = lambda df: sorted((r.atom_id, [tuple(n) for n in r.nbrs]) for r in df.collect())
+    expected = key(topology.neighbours(a, topology.bonds(a, ends=True)))
+    assert key(topology.near_atoms(a)) == expected == key(topology.neighbours(a, topology.bonds(a))) and len(expected) > 400
