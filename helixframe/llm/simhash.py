@@ -222,8 +222,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = materialize(buckets.join(known, "node", "left").select("key", "node", "size", "bits", F.coalesce("component", "node").alias("component")), "buckets")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
-    open_ = materialize(named.join(mixed, "key"), "buckets")
-    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & fits("p", "q")
+    open_ = materialize(named.join(mixed, "key").join(nodes.select("node", "keys"), "node"), "buckets")
+    once = ((F.col("q.component") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))) & (F.array_min(F.array_intersect("p.keys", "q.keys")) == F.col("p.key"))  # a pair meets in the first bucket that it shares
+    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & once & fits("p", "q")
     rest = open_.where("component <> main").alias("p").join(open_.alias("q"), across).select(*pair("p.node", "q.node")).distinct().join(spokes, ["a", "b"], "left_anti")
     links_2 = _verified(materialize(rest, "pairs"), nodes, docs, text_col, size, least)
 
