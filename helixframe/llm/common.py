@@ -48,7 +48,7 @@ def row_order(row: str, kind: StructType) -> Column:
 
 def chunks_for(rows: Column | float) -> Column | int:
     """How many chunks number `rows` rows: both the chunks and the rows of one grow with the square root only."""
-    return F.ceil(4 * F.sqrt(rows)).cast("long") if isinstance(rows, Column) else max(1, math.ceil(4 * math.sqrt(rows)))
+    return F.ceil(F.sqrt(rows)).cast("long") if isinstance(rows, Column) else max(1, math.ceil(math.sqrt(rows)))
 
 
 def number_within(df: DataFrame, group: list[str], chunk: Column, order: list, name: str) -> DataFrame:

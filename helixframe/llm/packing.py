@@ -5,7 +5,7 @@ bins; combinations of few lengths that fill the window exactly are enumerated; n
 finds how often to repeat each so that they use up the histogram; the repeats are rounded down and what is
 left is packed greedily, largest first. All of this works on at most WINDOW / GRAIN bin counts, whatever
 the number of documents. The result is a table of slots (bin, ranks, first sequence); each piece gets its
-rank in its bin and with it sequence and place. Ranks are numbered in chunks, some four times the square root of a bin's
+rank in its bin and with it sequence and place. Ranks are numbered in chunks, as many as the square root of a bin's
 pieces, so a bin that holds a third of all pieces is many tasks at any size.
 
 Token ids are computed once and only lengths and checksums are written, so the later steps move some

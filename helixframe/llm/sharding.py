@@ -3,7 +3,7 @@
 Every shard bids for a key with weight / -ln(u), u uniform from an MD5 of (key, shard); the highest bid
 wins, so a shard wins its share of the weights and a further shard takes rows only into itself. Nothing is
 looked up or moved: the bids are expressions on one row. The slot of a row in its shard is numbered in
-chunks, some four times the square root of a shard's rows, so no shard's rows meet in one task at any size.
+chunks, as many as the square root of a shard's rows, so no shard's rows meet in one task at any size.
 
 Defined cases: a null key is hashed as the text 'null'; a null text has no bytes and an empty one none either, a very
 long one counts whole; of equal bids the shard with the larger number wins; repeated rows and keys go to the same shard
@@ -72,7 +72,7 @@ d AS (SELECT doc_id, (octet_length(encode(text)) + 1)::BIGINT AS size,
 s AS (SELECT doc_id, unnest(range({SHARDS + 1})) AS shard FROM documents),
 b AS (SELECT doc_id, shard, 1.0::DOUBLE / -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || shard), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << _BITS)!r}::DOUBLE) AS bid FROM s),
 w AS (SELECT doc_id, arg_max(shard, bid) FILTER (shard < {SHARDS}) AS shard, arg_max(shard, bid) AS grown_shard FROM b GROUP BY doc_id),
-n AS (SELECT greatest(1, ceil(4 * sqrt(count(*) / {float(SHARDS)!r}::DOUBLE)))::BIGINT AS chunks FROM documents),
+n AS (SELECT greatest(1, ceil(sqrt(count(*) / {float(SHARDS)!r}::DOUBLE)))::BIGINT AS chunks FROM documents),
 p AS (SELECT d.*, w.shard, w.grown_shard, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|slot|' || text_crc32), 1, 12))::BIGINT % (SELECT chunks FROM n) AS chunk FROM d JOIN w USING (doc_id))
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
        row_number() OVER (PARTITION BY shard ORDER BY chunk, doc_id, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard FROM p
