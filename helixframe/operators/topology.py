@@ -263,22 +263,53 @@ def molstar_types(feature: DataFrame) -> DataFrame:
     }))
 
 
-# Type bits of protein atoms by name and residues; "*" stands for all others.
+# Types of protein atoms by name and residues (Jubb et al. 2017); "*" stands for all others, no name for no type.
 NAMED_TYPES = {
-    "N": {"PRO": 0, "*": 2}, "O": {"*": 1093}, "C": {"*": 128}, "CA": {"*": 8}, "CB": {"SER THR TYR": 8, "*": 520}, "CD": {"LYS": 520, "ARG PRO": 8},
-    "CD1": {"TRP": 256, "LEU ILE": 520, "TYR PHE": 776}, "CD2": {"LEU": 520, "TYR PHE": 776, "TRP": 768, "HIS": 1303}, "CE1": {"HIS": 1303, "PHE TYR": 776},
-    "CE2": {"TRP": 256, "PHE TYR": 776}, "CE3": {"TRP": 768}, "CE": {"MET": 520, "LYS": 8}, "CG": {"ARG GLN GLU LEU LYS MET PRO": 520, "PHE": 776, "TRP TYR": 768, "HIS": 272},
-    "CG1": {"ILE VAL": 520}, "CG2": {"ILE VAL THR": 520}, "CH2": {"TRP": 776}, "CZ": {"ARG": 16, "PHE": 776, "TYR": 256}, "CZ2": {"TRP": 776}, "CZ3": {"TRP": 776},
-    "ND1": {"HIS": 1303}, "ND2": {"ASN": 1031}, "NE1": {"TRP": 258}, "NE2": {"GLN": 1031, "HIS": 1303}, "NE": {"ARG": 18}, "NH1": {"ARG": 18}, "NH2": {"ARG": 18},
-    "NZ": {"LYS": 18}, "OD1": {"ASN": 1031, "ASP": 1061}, "OD2": {"ASP": 1061}, "OE1": {"GLN": 1031, "GLU": 1061}, "OE2": {"GLU": 1061}, "OG1": {"THR": 1031},
-    "OG": {"SER": 1031}, "OH": {"TYR": 1031}, "SD": {"MET": 1541}, "SG": {"CYS": 1031}, "OXT": {"*": 1029},
-}
+    "N": {"PRO": "", "*": "HbondDonor"},
+    "O": {"*": "HbondAcceptor WeakHbondAcceptor CarbonylOxygen XBondAcceptor"},
+    "C": {"*": "CarbonylCarbon"},
+    "CA": {"*": "WeakHbondDonor"},
+    "CB": {"SER THR TYR": "WeakHbondDonor", "*": "WeakHbondDonor Hydrophobic"},
+    "CD": {"LYS": "WeakHbondDonor Hydrophobic", "ARG PRO": "WeakHbondDonor"},
+    "CD1": {"TRP": "Aromatic", "LEU ILE": "WeakHbondDonor Hydrophobic", "TYR PHE": "WeakHbondDonor Aromatic Hydrophobic"},
+    "CD2": {"LEU": "WeakHbondDonor Hydrophobic", "TYR PHE": "WeakHbondDonor Aromatic Hydrophobic", "TRP": "Aromatic Hydrophobic", "HIS": "HbondAcceptor HbondDonor WeakHbondAcceptor PositiveCharge Aromatic XBondAcceptor"},
+    "CE1": {"HIS": "HbondAcceptor HbondDonor WeakHbondAcceptor PositiveCharge Aromatic XBondAcceptor", "PHE TYR": "WeakHbondDonor Aromatic Hydrophobic"},
+    "CE2": {"TRP": "Aromatic", "PHE TYR": "WeakHbondDonor Aromatic Hydrophobic"},
+    "CE3": {"TRP": "Aromatic Hydrophobic"},
+    "CE": {"MET": "WeakHbondDonor Hydrophobic", "LYS": "WeakHbondDonor"},
+    "CG": {"ARG GLN GLU LEU LYS MET PRO": "WeakHbondDonor Hydrophobic", "PHE": "WeakHbondDonor Aromatic Hydrophobic", "TRP TYR": "Aromatic Hydrophobic", "HIS": "PositiveCharge Aromatic"},
+    "CG1": {"ILE VAL": "WeakHbondDonor Hydrophobic"},
+    "CG2": {"ILE VAL THR": "WeakHbondDonor Hydrophobic"},
+    "CH2": {"TRP": "WeakHbondDonor Aromatic Hydrophobic"},
+    "CZ": {"ARG": "PositiveCharge", "PHE": "WeakHbondDonor Aromatic Hydrophobic", "TYR": "Aromatic"},
+    "CZ2": {"TRP": "WeakHbondDonor Aromatic Hydrophobic"},
+    "CZ3": {"TRP": "WeakHbondDonor Aromatic Hydrophobic"},
+    "ND1": {"HIS": "HbondAcceptor HbondDonor WeakHbondAcceptor PositiveCharge Aromatic XBondAcceptor"},
+    "ND2": {"ASN": "HbondAcceptor HbondDonor WeakHbondAcceptor XBondAcceptor"},
+    "NE1": {"TRP": "HbondDonor Aromatic"},
+    "NE2": {"GLN": "HbondAcceptor HbondDonor WeakHbondAcceptor XBondAcceptor", "HIS": "HbondAcceptor HbondDonor WeakHbondAcceptor PositiveCharge Aromatic XBondAcceptor"},
+    "NE": {"ARG": "HbondDonor PositiveCharge"},
+    "NH1": {"ARG": "HbondDonor PositiveCharge"},
+    "NH2": {"ARG": "HbondDonor PositiveCharge"},
+    "NZ": {"LYS": "HbondDonor PositiveCharge"},
+    "OD1": {"ASN": "HbondAcceptor HbondDonor WeakHbondAcceptor XBondAcceptor", "ASP": "HbondAcceptor WeakHbondAcceptor NegativeCharge XBondAcceptor"},
+    "OD2": {"ASP": "HbondAcceptor WeakHbondAcceptor NegativeCharge XBondAcceptor"},
+    "OE1": {"GLN": "HbondAcceptor HbondDonor WeakHbondAcceptor XBondAcceptor", "GLU": "HbondAcceptor WeakHbondAcceptor NegativeCharge XBondAcceptor"},
+    "OE2": {"GLU": "HbondAcceptor WeakHbondAcceptor NegativeCharge XBondAcceptor"},
+    "OG1": {"THR": "HbondAcceptor HbondDonor WeakHbondAcceptor XBondAcceptor"},
+    "OG": {"SER": "HbondAcceptor HbondDonor WeakHbondAcceptor XBondAcceptor"},
+    "OH": {"TYR": "HbondAcceptor HbondDonor WeakHbondAcceptor XBondAcceptor"},
+    "SD": {"MET": "HbondAcceptor WeakHbondAcceptor Hydrophobic XBondAcceptor"},
+    "SG": {"CYS": "HbondAcceptor HbondDonor WeakHbondAcceptor XBondAcceptor"},
+    "OXT": {"*": "HbondAcceptor WeakHbondAcceptor XBondAcceptor"},
+}
 
 
 def arpeggio_types(feature: DataFrame) -> DataFrame:
     """feature with atom_type by name for the standard residues, by element and neighbours for others."""
-    named = {f"{r}:{n}": bits for n, by in NAMED_TYPES.items() for rs, bits in by.items() for r in rs.split() if r != "*"}
-    rest = {n: by["*"] for n, by in NAMED_TYPES.items() if "*" in by}
+    bits = lambda names: sum(TYPES[t] for t in names.split())
+    named = {f"{r}:{n}": bits(names) for n, by in NAMED_TYPES.items() for rs, names in by.items() for r in rs.split() if r != "*"}
+    rest = {n: bits(by["*"]) for n, by in NAMED_TYPES.items() if "*" in by}
     known = F.coalesce(lookup(named, F.concat_ws(":", "resname", "name")), lookup(rest, F.col("name")), F.lit(0))
     el, h = F.col("el"), F.col("n_h") + F.col("implicit_h")
     other = _bits({
