@@ -17,8 +17,18 @@ __all__ = ["drop_tables", "materialize", "shared_dir"]
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of the batches in which texts go to Python workers: a worker holds a few batches, whatever the texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input; sets the session's batches to BATCH_ROWS and BATCH_BYTES where they are larger."""
     on_workers(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        size = int(now) if now.lstrip("-").isdigit() else 0
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
