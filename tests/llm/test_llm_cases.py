@@ -299,3 +299,18 @@ def test_license_base_places_like_plain_code():
         expected = sorted((i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
         found = license_scan.scan(text)
         assert (found["n_words"], found["base"]) == (len(words), expected)
+
+
+def test_batches_of_text_are_bounded(spark, tmp_path):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.range(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(rows), spark.conf.get(size)
+    try:
+        for given, expected in ((("-1", "64m"), (common.BATCH_ROWS, common.BATCH_BYTES)), (("50", "1m"), (50, "1m"))):
+            spark.conf.set(rows, given[0])
+            spark.conf.set(size, given[1])
+            common.table(spark, str(tmp_path), "documents")
+            assert int(spark.conf.get(rows)) == expected[0] and spark.conf.get(size).rstrip("b") in (str(expected[1]), "1m", "1048576")
+    finally:
+        spark.conf.set(rows, before[0])
+        spark.conf.set(size, before[1])
