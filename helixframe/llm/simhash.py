@@ -12,11 +12,14 @@ Equal fingerprints are one node from the start (partial aggregation collapses co
 so groups of copies cost nothing here. Components come from alternating stars.
 
 `near_dedup` has its own measure: texts are near copies if the sets of their five-word shingles have a
-Jaccard similarity of SIMILAR or more. Hamming balls can't find such pairs: at 0.8 a bit differs with probability 0.15, so
-pairs are some ten of 64 bits apart, and balls that reach them in segments long enough to be selective hold more than
-10^5 keys. So candidates share one of BANDS bands of ROWS minima of the shingle hashes (at 0.8 with probability
-0.9993, above it more), and every candidate is verified on the whole shingle sets. Texts of one set are one
-node. First each band's bucket is a star around one node; then buckets that still hold several components
+Jaccard similarity of SIMILAR or more. At 0.8 a bit of a SimHash differs with probability 0.15, some ten of 64 bits, and
+balls that reach so far hold more than 10^5 keys. So the fingerprint of a set is longer, and the index has more segments,
+asked for without a ball: as many segments as find a pair at SIMILAR with probability RECALL, each three bits
+longer than the number of rows, so that unrelated texts seldom meet (`segmented`). Equal segments make
+candidates, and every candidate is verified on the whole shingle sets. Pairs none of whose segments agree, and those of
+very small sets, whose bits differ more often, are also asked for by BANDS bands of ROWS minima of the shingle hashes (at 0.8 with
+probability 0.9993, above it more). Texts of one set are one node. First the bucket of each segment or band is a star around one
+node, the first in an order of all nodes; then buckets of more than two that still hold several components
 give all pairs across them, so the components are those of all candidate pairs, while a large group never
 gives all its pairs. Sizes too far apart, and signatures of MINIMA minima that agree in DEVIATIONS standard deviations
 fewer than a pair at SIMILAR does, are dropped before the sets are read (such a pair with probability 0.0002).
@@ -30,6 +33,7 @@ one another; an empty table gives no rows; other columns, whatever their names,
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -41,6 +45,7 @@ from helixframe.llm.common import components, materialize, row_of, row_order, ta
 SEED = 42
 BITS, SEGMENT_BITS, MAX_DISTANCE = 64, 32, 3
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 6
+RECALL, SHORTEST, LONGEST = 0.9, 16, 31  # of the segments alone at SIMILAR; bits of a segment
 MINIMA, DIGIT, DEVIATIONS = 384, 4, 3.5  # minima of a signature, bits kept of each, how far below its expectation a pair may agree
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -133,6 +138,33 @@ def shingle_set(text: str | None, size: int = SHINGLE):
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), dtype=np.uint64))
 
 
+def segmented(rows: int, least: float = SIMILAR, recall: float = RECALL) -> tuple[int, int]:
+    """(width, count) of the segments that find a pair of sets at Jaccard `least` among so many rows with probability `recall`."""
+    width = min(LONGEST, max(SHORTEST, rows.bit_length() + 3))
+    met = (1 - math.acos(2 * least / (1 + least)) / math.pi) ** width  # that one segment of a pair agrees
+    return width, 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
+def segments(shingles, width: int, count: int):
+    """The SimHash of a shingle set in `count` segments of `width` bits: a bit is set if more than half of the shingles' hashes have it."""
+    import numpy as np
+
+    words = -(-width * count // 64)
+    rng = np.random.default_rng(SEED + 1)
+    shift, factor = (rng.integers(0, 1 << 64, words, dtype=np.uint64) for _ in range(2))
+    factor |= np.uint64(1)
+    counts = np.zeros((8, words * 8), dtype=np.int64)
+    for at in range(0, len(shingles), 255):  # bytes count up to 255
+        mixed = (shingles[at : at + 255, None] ^ shift) * factor
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= factor
+        mixed ^= mixed >> np.uint64(29)
+        for bit in range(8):
+            counts[bit] += ((mixed >> np.uint64(bit)) & np.uint64(0x0101010101010101)).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    bits = (counts * 2 > len(shingles)).ravel(order="F")[: width * count].reshape(count, width)
+    return bits @ (1 << np.arange(width))
+
+
 def _minima(shingles):
     """The minima of a shingle set under MINIMA shared random orders; the first BANDS * ROWS make the bands."""
     import numpy as np
@@ -145,8 +177,8 @@ def _minima(shingles):
     return least
 
 
-def _signature_batches(batches: Iterator, size: int) -> Iterator:
-    """Per text a 128-bit hash of its shingle set, the set's size, DIGIT bits of each minimum and the key of each band."""
+def _signature_batches(batches: Iterator, size: int, width: int, count: int, bands: int) -> Iterator:
+    """Per text a 128-bit hash of its shingle set, the set's size, DIGIT bits of each minimum and the key of each segment and band."""
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -160,9 +192,9 @@ def _signature_batches(batches: Iterator, size: int) -> Iterator:
             sizes.append(len(found))
             mixed = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - DIGIT)).astype(np.uint8)
             bits.append((mixed[::2] << DIGIT | mixed[1::2]).view(np.int64).tolist())
-            keys.append([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))])
-        signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-        columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(signed(keys).tolist(), pa.list_(pa.int64()))]
+            banded = np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least[: bands * ROWS].reshape(bands, ROWS))], dtype=np.uint64)
+            keys.append(np.concatenate([segments(found, width, count) | np.arange(count) << LONGEST, banded.view(np.int64)]))
+        columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "row_hash", "shingle_set", "size", "bits", "keys"])
 
 
@@ -187,18 +219,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
     return materialize(met.where(both + 1e-9 >= least * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
-    """One row per row of docs: id, row_hash, component_id (the smallest id that verified links reach), group (a number of the group)."""
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILAR, bands: int = BANDS) -> DataFrame:
+    """One row per row of docs: id, row_hash, component_id (the smallest id that verified links reach), group (a number of the group).
+
+    Without bands (0) the SimHash segments alone make candidates.
+    """
+    width, count = segmented(docs.count(), least)
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", "text", F.xxhash64("text").alias("row_hash"))
     kind = source.schema["id"].dataType.simpleString()
-    signed = materialize(source.mapInArrow(lambda b: _signature_batches(b, size), f"id {kind}, row_hash long, shingle_set binary, size long, bits array<long>, keys array<long>"), "signatures")
+    signed = materialize(source.mapInArrow(lambda b: _signature_batches(b, size, width, count, bands), f"id {kind}, row_hash long, shingle_set binary, size long, bits array<long>, keys array<long>"), "signatures")
     first = lambda c: F.min_by(c, "row_hash").alias(c)
     grouped = signed.groupBy("shingle_set").agg(F.min("id").alias("rep"), F.min("row_hash").alias("row_hash"), first("size"), first("bits"), first("keys"))
     nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the written numbers are the nodes
 
     placed = nodes.select("node", F.explode("keys").alias("key"))
-    stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("n > 1").drop("n")
-    buckets = materialize(placed.join(stars, "key").join(nodes.select("node", "size", "bits"), "node"), "buckets")
+    stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("centre")).where("n > 1")
+    buckets = materialize(placed.join(stars, "key"), "buckets")
 
     differ = (1 - least) * (1 - 2.0**-DIGIT)
     most = int(MINIMA * differ + DEVIATIONS * (MINIMA * differ * (1 - differ)) ** 0.5)
@@ -215,16 +251,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def pair(a: str, b: str):
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    centres = nodes.select(F.col("node").alias("centre"), "size", "bits").alias("c")
-    spokes = materialize(buckets.where("node <> centre").alias("m").join(centres, (F.col("m.centre") == F.col("c.centre")) & fits("m", "c")).select(*pair("m.node", "c.centre")).distinct(), "pairs")
+    narrow = nodes.select("node", "size", "bits")
+    asked = buckets.where("node <> centre").select("node", "centre").distinct().join(narrow, "node").alias("m")
+    spokes = materialize(asked.join(narrow.alias("c"), (F.col("m.centre") == F.col("c.node")) & fits("m", "c")).select(*pair("m.node", "c.node")).distinct(), "pairs")
     links_1 = _verified(spokes, nodes, docs, text_col, size, least)
     known = components(links_1)
 
-    named = materialize(buckets.join(known, "node", "left").select("key", "node", "size", "bits", F.coalesce("component", "node").alias("component")), "buckets")
+    wider = buckets.where("n > 2")  # the one pair of a smaller bucket is a spoke
+    named = materialize(wider.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "buckets")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
-    open_ = materialize(named.join(mixed, "key").join(nodes.select("node", "keys"), "node"), "buckets")
+    open_ = materialize(named.join(mixed, "key").join(nodes.select("node", "size", "bits", "keys"), "node"), "buckets")
     once = ((F.col("q.component") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))) & (F.array_min(F.array_intersect("p.keys", "q.keys")) == F.col("p.key"))  # a pair meets in the first bucket that it shares
-    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & once & fits("p", "q")
+    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & fits("p", "q") & once
     rest = open_.where("component <> main").alias("p").join(open_.alias("q"), across).select(*pair("p.node", "q.node")).distinct().join(spokes, ["a", "b"], "left_anti")
     links_2 = _verified(materialize(rest, "pairs"), nodes, docs, text_col, size, least)
 

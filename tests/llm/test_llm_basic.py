@@ -146,6 +146,39 @@ def test_near_dedup_by_five_word_jaccard(spark):
     assert kept == set(root) and len(kept) < 200
 
 
+def test_near_copies_meet_in_segments_of_their_simhash(spark):
+    """Without the bands of minima at least 0.9 of the pairs at 0.8 or more are candidates, and no other pair is a link."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(150), 3):
+            words[at] = f"x{rng.randrange(5000)}"
+        texts.append(" ".join(words))
+    sets = [simhash.shingle_set(t) for t in texts]
+    likeness = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    near = [i for i, x in enumerate(likeness) if x >= 0.8]
+    found = {r.id: r.component_id for r in simhash.similar_groups(docs(spark, texts, repeat=False), bands=0).collect()}
+    caught = sum(found[2 * i + 1] == 2 * i for i in near)
+    assert len(near) > 100 and caught >= 0.9 * len(near)
+    assert all(found[i] == i or i % 2 and found[i] == i - 1 and likeness[i // 2] >= 0.8 for i in range(len(texts)))
+
+
+def test_segments_like_plain_code():
+    shingles = simhash.shingle_set(" ".join(f"w{i % 300}" for i in range(700)))
+    width, count = simhash.segmented(203_000)
+    one = [simhash.segments(shingles[i : i + 1], width, count) for i in range(len(shingles))]  # the bits of each hash
+    plain = [sum((2 * sum(int(h[t]) >> b & 1 for h in one) > len(one)) << b for b in range(width)) for t in range(count)]
+    assert simhash.segments(shingles, width, count).tolist() == plain
+    assert simhash.segments(shingles[::-1], width, count).tolist() == plain and max(plain) < 1 << width
+    assert [simhash.segmented(n) for n in (0, 40_000, 1 << 40)] == [(16, 31), (19, 52), (31, 374)]
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "&#60;s> &amp; &amp;#60;", None, "", "<s>[INST]", "a\nb", "&", "] x", "<</s>s>"]
     rows = [(c, t, role, texts[(c * 5 + t) % len(texts)], "x") for c in range(12) for t, role in enumerate(["system", "user", "assistant", "INST", None, "a] b", "</s>"])]
