@@ -15,9 +15,9 @@ that fell out of step don't count against the others.
 
 `near_ids` finds near copies: bands of bits sampled from one walk are the keys of buckets of distinct fingerprints, every
 link is verified over all samples, and components of the verified links are the groups. Each bucket first is a
-star around one node; then buckets that still hold several components are asked for all pairs across them,
-so the groups are those of all pairs, and a large group never gives all its pairs. op5 runs it over all
-fingerprints. Copies are one node before the bands. A band of 44 bits meets by chance for a pair in some
+star around one node, the first in an order of all nodes; then buckets of more than two that still hold several components are
+asked for all pairs across them, of which each two components keep one link, so the groups are those of all pairs, and a
+large group never gives all its pairs. op5 runs it over all fingerprints. Copies are one node before the bands. A band of 44 bits meets by chance for a pair in some
 10^10, so candidates stay few at any size. Recall against brute force is measured in the tests and stated in the README.
 
 `edited_neighbours` needs each document's successor in descending id. Ids are cut into ranges of some RANGE_BYTES at
@@ -359,21 +359,25 @@ def near_ids(fingerprints: DataFrame, id_col: str = "id", least: float = NEAR) -
     grouped = fingerprints.groupBy("fingerprint").agg(F.min(id_col).alias("rep"))
     nodes = materialize(grouped.select("fingerprint", "rep", F.monotonically_increasing_id().alias("node"), _words("fingerprint").alias("bits")), "edit-nodes")  # the written numbers are the nodes
     placed = nodes.select("node", F.explode(bands()).alias("key"))
-    stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("n > 1").drop("n")
+    stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("centre")).where("n > 1")  # one order for all buckets, so that a group has few centres
     buckets = materialize(placed.join(stars, "key"), "edit-buckets")
     bits = nodes.select("node", "bits")
 
     spokes = buckets.where("node <> centre").select("node", "centre").distinct().join(bits, "node").alias("m")
     links_1 = materialize(spokes.join(bits.alias("c"), (F.col("m.centre") == F.col("c.node")) & _near("m", "c", least)).select(F.col("m.node").alias("a"), F.col("m.centre").alias("b")), "edit-links")
-    named = materialize(buckets.join(components(links_1), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "edit-buckets")
+    known = materialize(components(links_1), "edit-components")
+    wider = buckets.where("n > 2")  # the one pair of a smaller bucket is a spoke
+    named = materialize(wider.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "edit-buckets")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
     open_ = materialize(named.join(mixed, "key").join(bits, "node"), "edit-buckets")
     across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & _near("p", "q", least)
-    links_2 = materialize(open_.where("component <> main").alias("p").join(open_.alias("q"), across).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), "edit-links")
-    member = components(links_1.unionByName(links_2))
-    smallest = member.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("near_id"))
-    linked = member.join(smallest, "component").select("node", "near_id")
-    return materialize(nodes.join(linked, "node", "left").select("fingerprint", F.coalesce("near_id", "rep").alias("near_id")), "edit-groups")
+    met = open_.where("component <> main").alias("p").join(open_.alias("q"), across)
+    links_2 = materialize(met.select(F.least("p.component", "q.component").alias("a"), F.greatest("p.component", "q.component").alias("b")).distinct(), "edit-links")  # one link joins two components
+    over = components(links_2).select(F.col("node").alias("part"), F.col("component").alias("group"))
+    placed_in = nodes.join(known, "node", "left").select("fingerprint", "rep", F.coalesce("component", "node").alias("part"))
+    member = materialize(placed_in.join(over, "part", "left").select("fingerprint", "rep", F.coalesce("group", "part").alias("group")), "edit-members")
+    smallest = member.groupBy("group").agg(F.min("rep").alias("near_id"))
+    return materialize(member.join(smallest, "group").select("fingerprint", "near_id"), "edit-groups")
 
 
 def near_groups(fingerprints: DataFrame, id_col: str = "id", least: float = NEAR) -> DataFrame:

@@ -342,6 +342,22 @@ def test_edit_near_groups(spark):
     assert found == {i: (i if i < 12 else i - 12 if i < 18 else i - 18) for i in range(21)}
 
 
+def test_edit_large_group_gives_few_links(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghij klmnop") for _ in range(600))
+    places = [rng.randrange(600) for _ in range(150)]
+    texts = [text[:at] + rng.choice("xyz") + text[at + 1 :] for at in places]
+    texts = list(dict.fromkeys(edit_fingerprint.fingerprint(t) for t in texts))
+    seen = []
+    monkeypatch.setattr(edit_fingerprint, "components", lambda edges: seen.append(edges.count()) or common.components(edges))
+    found = edit_fingerprint.near_groups(spark.createDataFrame(list(enumerate(texts)), "id long, fingerprint string")).collect()
+    print(seen, len(texts))
+    assert {r.near_id for r in found} == {0} and len(found) == len(texts)
+    assert sum(seen) <= 6 * len(texts)
+
+
 def test_op5_groups_near_copies(spark, tmp_path):
     import random
 
