@@ -4,7 +4,10 @@ import math
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from helixframe.operators import contacts
+from helixframe.operators.kernels import block_width
 from helixframe.operators.sasa import areas, measure, sphere
 
 
@@ -37,3 +40,50 @@ def test_coincident_centres_among_crowded_atoms():
     ids[21], altloc[30], altloc[31], altloc[12] = 20, "A", "B", "C"
     _, same = measure(xyz, np.full(3000, 1.7), np.zeros(3000, dtype=np.int64), np.arange(3000), 1.4, 24, ids, altloc.astype(str))
     assert np.flatnonzero(same).tolist() == [10, 11, 12]
+
+
+def crowded(spark, n=1500):
+    """Typed atoms of all bits in a narrow box, as rings and points too."""
+    rng = np.random.default_rng(9)
+    rows = [(i, *map(float, rng.standard_normal(3) * 4), str(i % 3), i // 8, "LIG", "C", "", 512 | 16, 3) for i in range(n)]
+    return spark.createDataFrame(rows, "atom_id long, x double, y double, z double, chain string, resid int, resname string, el string, altloc string, atom_type int, hyb int")
+
+
+def rings_of(atoms):
+    at = F.struct("x", "y", "z").alias("center")
+    normal = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z")).alias("normal")
+    return atoms.select(F.col("atom_id").alias("ring_id"), "chain", "resid", "resname", at, normal, F.array("atom_id").alias("atom_ids"), "x", "y", "z")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_crowded_atoms_are_not_shuffled(spark):
+    atoms = crowded(spark)
+    found = contacts.atom_contacts(atoms, tuple(r for r in contacts.ARPEGGIO if r.type == "Hydrophobic"), [])
+    assert plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+    p = np.array([(r.x, r.y, r.z, int(r.chain), r.resid) for r in atoms.orderBy("atom_id").collect()])
+    near = ((p[:, None, :3] - p[None, :, :3]) ** 2).sum(-1) <= 20.25
+    apart = (p[:, None, 3] != p[None, :, 3]) | (np.abs(p[:, None, 4] - p[None, :, 4]) > 1)
+    assert {(r.lhs, r.rhs) for r in found.collect()} == set(zip(*np.nonzero(np.triu(near & apart, 1)), strict=True))
+
+
+def test_pairs_of_crowded_rings_are_not_shuffled_or_joined(spark):
+    atoms = crowded(spark)
+    rings = rings_of(atoms)
+    for found in (contacts.getcontacts_pi_stacking(rings, []), contacts.molstar_pi_stacking(rings, []), contacts.getcontacts_cation_pi(atoms, rings, [])):
+        assert plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+    p = np.array([(r.x, r.y, r.z, int(r.chain), r.resid) for r in atoms.orderBy("atom_id").collect()])
+    v = p[:, None, :3] - p[None, :, :3]
+    d2 = (v**2).sum(-1)
+    other = (p[:, None, 3] != p[None, :, 3]) | (p[:, None, 4] != p[None, :, 4])
+    tilt = np.degrees(np.arccos(np.abs(v[..., 2]) / np.sqrt(np.where(d2 > 0, d2, np.inf))))
+    expected = np.triu(other & (d2 <= 49.0) & (tilt <= 45.0), 1)
+    stacked = contacts.getcontacts_pi_stacking(rings, []).collect()
+    assert {(r.lhs - (1 << 56), r.rhs - (1 << 56)) for r in stacked} == set(zip(*np.nonzero(expected), strict=True)) and {r.type for r in stacked} == {"PiStackingP"}
+
+
+def test_blocks_of_crowded_points_are_narrow(spark):
+    atoms = crowded(spark)
+    assert block_width(atoms, [], 4.0, 40.0, 2000) == 40.0 and block_width(atoms, [], 4.0, 40.0, 100) == 4.0
