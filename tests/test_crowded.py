@@ -6,9 +6,10 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from helixframe.operators import contacts
+from helixframe.operators import contacts, topology
 from helixframe.operators.kernels import block_width
 from helixframe.operators.sasa import areas, measure, sphere
+from helixframe.sources import peptides
 
 
 def area_by_definition(i, xyz, radii, probe, points):
@@ -87,3 +88,13 @@ def test_pairs_of_crowded_rings_are_not_shuffled_or_joined(spark):
 def test_blocks_of_crowded_points_are_narrow(spark):
     atoms = crowded(spark)
     assert block_width(atoms, [], 4.0, 40.0, 2000) == 40.0 and block_width(atoms, [], 4.0, 40.0, 100) == 4.0
+
+
+def test_growing_tables_are_not_sent_to_the_driver_because_their_files_are_small(spark, tmp_path):
+    rows = [tuple(r.values()) for r in peptides.rows("m", "ACDEFGHIKLMNPQRSTVWY" * 3, (-120.0, 130.0))]
+    spark.createDataFrame(rows, peptides.ATOMS).write.parquet(f"file://{tmp_path}/atoms")
+    atoms = spark.read.parquet(f"file://{tmp_path}/atoms")
+    for df in (topology.bonds(atoms), topology.bonds(atoms, ends=True), topology.features(atoms), topology.features(atoms, topology.bonds(atoms))):
+        assert "Broadcast" not in plan(df)
+    key = lambda df: sorted((r.a, r.b) for r in df.collect())
+    assert key(topology.bonds(atoms)) == key(topology.bonds(atoms, ends=True)) and topology.bonds(atoms).count() > 200
