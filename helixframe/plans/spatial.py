@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.geometry import vec
 from helixframe.functions.interactions import contact_label, entity_id, entity_index, entity_kind
 from helixframe.functions.selection import select_atoms
-from helixframe.operators import contact_set, contacts, distances, radius, topology
+from helixframe.operators import contact_set, contacts, distances, near, radius, topology
 from helixframe.sources.adapters import POINTS_SQL, points
 
 RADIUS, STEP = 5.0, 50
@@ -40,7 +39,7 @@ def chain_cross(spark, d):
 
 
 def brute(spark, d):
-    return radius.brute_force(points(spark, d), RADIUS).select("i", "j", F.round("distance_sq", 6).alias("d2"))
+    return radius.nested_loop(points(spark, d), RADIUS).select("i", "j", F.round("distance_sq", 6).alias("d2"))
 
 
 def _typed(spark, d):
@@ -202,10 +201,7 @@ def entity_ids(spark, d):
 
 def nearest_top2(spark, d):
     """The two nearest neighbours of each point, the shape of keeping the two best hydrogen bonds."""
-    pairs = radius.self_join(points(spark, d), 2 * RADIUS)
-    both = pairs.select("i", "j", "distance_sq").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance_sq"))
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("distance_sq", "j"))
-    return both.withColumn("rank", rank).where("rank <= 2").select("i", "j", F.col("rank").cast("long").alias("rank"))
+    return near.nearest(points(spark, d), 2, 2 * RADIUS, [])
 
 
 QUERIES = {

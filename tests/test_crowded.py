@@ -6,9 +6,10 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from helixframe.operators import contacts, topology
+from helixframe.operators import contacts, near, radius, topology
 from helixframe.operators.kernels import block_width
 from helixframe.operators.sasa import areas, measure, sphere
+from helixframe.plans import spatial
 from helixframe.sources import peptides
 
 
@@ -65,9 +66,9 @@ def test_pairs_of_crowded_atoms_are_not_shuffled(spark):
     found = contacts.atom_contacts(atoms, tuple(r for r in contacts.ARPEGGIO if r.type == "Hydrophobic"), [])
     assert plan(found).count("Exchange") == 1 and "Join" not in plan(found)
     p = np.array([(r.x, r.y, r.z, int(r.chain), r.resid) for r in atoms.orderBy("atom_id").collect()])
-    near = ((p[:, None, :3] - p[None, :, :3]) ** 2).sum(-1) <= 20.25
+    close = ((p[:, None, :3] - p[None, :, :3]) ** 2).sum(-1) <= 20.25
     apart = (p[:, None, 3] != p[None, :, 3]) | (np.abs(p[:, None, 4] - p[None, :, 4]) > 1)
-    assert {(r.lhs, r.rhs) for r in found.collect()} == set(zip(*np.nonzero(np.triu(near & apart, 1)), strict=True))
+    assert {(r.lhs, r.rhs) for r in found.collect()} == set(zip(*np.nonzero(np.triu(close & apart, 1)), strict=True))
 
 
 def test_pairs_of_crowded_rings_are_not_shuffled_or_joined(spark):
@@ -98,3 +99,26 @@ def test_growing_tables_are_not_sent_to_the_driver_because_their_files_are_small
         assert "Broadcast" not in plan(df)
     key = lambda df: sorted((r.a, r.b) for r in df.collect())
     assert key(topology.bonds(atoms)) == key(topology.bonds(atoms, ends=True)) and topology.bonds(atoms).count() > 200
+
+
+def test_a_nested_loop_takes_any_number_of_points(spark, monkeypatch):
+    atoms = crowded(spark, 700)
+    monkeypatch.setattr(radius, "BRUTE_POINTS", 500)
+    key = lambda df: sorted((r.i, r.j, r.distance_sq) for r in df.collect())
+    found = key(radius.nested_loop(atoms, 2.0))
+    assert found == key(radius.self_join(atoms, 2.0)) and len(found) > 1000
+    monkeypatch.setattr(spatial, "points", lambda *_: atoms)
+    assert spatial.brute(spark, "").count() == len(key(radius.self_join(atoms, spatial.RADIUS)))  # this was an error
+    assert radius.nested_loop(atoms.limit(0), 2.0).count() == 0
+
+
+def test_nearest_points_without_all_pairs(spark):
+    atoms = crowded(spark, 600).unionByName(crowded(spark, 600).where("atom_id < 40").selectExpr("atom_id + 1000 as atom_id", "x * 20 as x", "y", "z", "chain", "resid", "resname", "el", "altloc", "atom_type", "hyb"))
+    df = near.nearest(atoms, 2, 10.0, [])
+    assert plan(df).count("Exchange") == 1 and "Window" not in plan(df)
+    rows = {r.atom_id: np.array([r.x, r.y, r.z]) for r in atoms.collect()}
+    expected = set()
+    for i, p in rows.items():
+        by = sorted((((p - q) ** 2).sum(), j) for j, q in rows.items() if j != i)[:2]
+        expected |= {(i, j, k + 1) for k, (d2, j) in enumerate(by) if d2 <= 100.0}
+    assert {(r.i, r.j, r["rank"]) for r in df.collect()} == expected and 1000 < len(expected) < 1280
